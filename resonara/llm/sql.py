@@ -18,3 +18,45 @@ WITH m AS (SELECT source AS src, CAST(coalesce(sum(length(text)), 0) AS DOUBLE)
 SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS copy_index
 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)
 """
+
+#: BM25 with whole-number weights over all documents.
+TOP_K_SQL = r"""
+WITH q AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+     w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')) AS term FROM documents),
+     l AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')), 0) AS len FROM documents),
+     s AS (SELECT count(*)::DOUBLE AS n, sum(len)::DOUBLE / count(*) AS mean FROM l),
+     p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+     f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY 1),
+     i AS (SELECT doc_id, term, CAST(floor(1000.0::DOUBLE * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + 0.5::DOUBLE) AS BIGINT) AS weight
+           FROM p JOIN f USING (term) JOIN l USING (doc_id), s),
+     c AS (SELECT item_id AS query_id, doc_id, CAST(sum(qtf * weight) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(qtf * weight) > 0),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+CHAT_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     last AS (SELECT conv_id, max(turn) AS last_turn FROM c WHERE role = 'assistant' GROUP BY 1),
+     answer AS (SELECT c.conv_id - 1 AS conv_id, text AS other FROM c JOIN last ON c.conv_id = last.conv_id AND c.turn = last_turn WHERE role = 'assistant'),
+     bad AS (SELECT c.conv_id, turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END AS text
+             FROM c LEFT JOIN last USING (conv_id) LEFT JOIN answer USING (conv_id)
+             WHERE last_turn IS NULL OR turn < last_turn OR (turn = last_turn AND (role <> 'assistant' OR other IS NOT NULL))),
+     a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM c),
+     b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM bad),
+     m AS (SELECT a.conv_id, count(*) FILTER (WHERE same) AS n FROM
+             (SELECT a.conv_id, a.k, bool_and(b.conv_id IS NOT NULL AND a.role = b.role AND a.text = b.text) OVER (PARTITION BY a.conv_id ORDER BY a.k) AS same
+              FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.k = b.k) a GROUP BY 1),
+     s AS (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b),
+     r AS (SELECT side, s.conv_id, k, k > n AS done, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, text FROM s JOIN m USING (conv_id)),
+     o AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY side, conv_id, done ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS start FROM r),
+     g AS (SELECT conv_id,
+             string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 0 AND NOT done) AS prompt,
+             string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 0 AND done) AS chosen,
+             string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 1 AND done) AS rejected,
+             string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 7 AS BIGINT), ',' ORDER BY k) FILTER (WHERE side = 0 AND done AND role = 'assistant') AS chosen_mask,
+             string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 7 AS BIGINT), ',' ORDER BY k) FILTER (WHERE side = 1 AND done AND role = 'assistant') AS rejected_mask
+           FROM o GROUP BY 1)
+SELECT conv_id, coalesce(prompt, '') AS prompt, CAST(n AS INTEGER) AS n_prompt_turns, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+       coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask
+FROM g JOIN m USING (conv_id) WHERE conv_id IN (SELECT conv_id FROM b)
+"""
