@@ -1,0 +1,11 @@
+"""Schemas of the tables that operators exchange."""
+
+from pyspark.sql import types as T
+
+#: One sample a row; i counts from 0 without gaps within a (track, ch).
+SIGNAL = "track string, ch int, i bigint, x double"
+#: One channel a row.
+SIGNAL_ROWS = "track string, ch int, sample_rate double, n bigint, samples array<double>"
+FRAMES = T.StructType.fromDDL("track string, ch int, t bigint, re array<double>, im array<double>")
+PITCH = T.StructType.fromDDL("track string, pitch_class int, tonic int, mode string, name string, confidence double, chroma array<double>")
+TEMPO = T.StructType.fromDDL("track string, bpm double, beat_period double, bar_length double, beats_per_bar int, first_beat double, first_downbeat double, confidence double")
