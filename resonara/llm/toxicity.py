@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +28,8 @@ SCORES = T.StructType(
 
 
 def features(word: str) -> list[str]:
-    """Observation features of a word: itself, its beginnings, its ending."""
-    n = len(word)
-    return ["w" + word, *[f"p{word[:k]}" for k in (4, 5, 6) if n > k], *(["s" + word[-3:]] if n > 4 else [])]
+    """Observation features of a word: itself and its beginnings."""
+    return ["w" + word, *[f"p{word[:k]}" for k in (4, 5, 6) if len(word) >= k]]
 
 
 def chain(ed: np.ndarray, starts: np.ndarray, lens: np.ndarray, tr: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ class ToxicModel:
 
         class Emissions(dict):
             def __missing__(self, w):
-                if len(self) > 2_000_000:
+                if len(self) > 1_000_000:
                     self.clear()
                 v = bias
                 for f in features(w):
@@ -144,51 +145,70 @@ def families(texts: list[str]) -> np.ndarray:
     return np.array([root(i) for i in range(len(texts))])
 
 
-def token_labels(texts: list[str], toxic: list[int], min_share: float = 0.01, min_families: int = 3, min_lift: float = 3.0) -> list[np.ndarray]:
+class Lexicon:
+    """The words of some texts as numbers, and the words' features as numbers. Token tables are arrays: a driver holds them in little memory."""
+
+    def __init__(self, texts: list[str]):
+        self.words: dict[str, int] = {}
+        per = [np.fromiter((self.words.setdefault(w, len(self.words)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+        self.lens = np.array([len(x) for x in per], np.int64)
+        self.word = np.concatenate([*per, np.zeros(0, np.int32)])
+        self.features: dict[str, int] = {}
+        rows, cols = array("i"), array("i")
+        for w, i in self.words.items():
+            for x in features(w):
+                rows.append(i)
+                cols.append(self.features.setdefault(x, len(self.features)))
+        self.rows, self.cols = np.frombuffer(rows, np.int32), np.frombuffer(cols, np.int32)  # by word
+
+    def families_by_feature(self, family: np.ndarray) -> np.ndarray:
+        """In how many families each feature is; -1 marks texts that don't count."""
+        owner = np.repeat(family, self.lens)
+        pair = np.unique(owner[owner >= 0].astype(np.int64) << 32 | self.word[owner >= 0])
+        first = np.searchsorted(self.rows, np.arange(len(self.words) + 1))
+        word = pair & 0xFFFFFFFF
+        n = first[word + 1] - first[word]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
+        both = np.unique(np.repeat(pair >> 32, n) << 32 | self.cols[at])
+        return np.bincount(both & 0xFFFFFFFF, minlength=len(self.features))
+
+
+def token_labels(lexicon: Lexicon, texts: list[str], toxic: list[int], min_share: float = 0.01, min_lift: float = 3.0, chance: float = 1e-6) -> np.ndarray:
     """Labelled tokens from labelled documents.
 
-    A feature tells of toxicity if it is in enough families of near-copies of toxic documents and its smoothed log ratio
-    against clean ones is at least ``min_lift``; a token of a toxic document is toxic if its word or one of its beginnings tells.
+    A feature tells of toxicity if it is in ``min_share`` of the families of near-copies of toxic documents, its smoothed log ratio against
+    clean ones is at least ``min_lift``, and it would be so much more common among toxic ones by accident with a probability below ``chance`` (labels
+    may be wrong, and there are many rare words). A token of a toxic document is toxic if its word or one of its beginnings tells.
     """
-    fam = families(texts)
-    n = [len({f for f, t in zip(fam, toxic) if t == c}) for c in (0, 1)]
-    by: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
-    words = [WORD.findall(t.lower()) for t in texts]
-    for ws, f, t in zip(words, fam, toxic):
-        for w in set(ws):
-            for x in features(w):
-                if x[0] != "s":
-                    by[t][x].add(f)
-    need = max(min_families, min_share * n[1])
-    tells = {x for x, fs in by[1].items() if len(fs) >= need and np.log((len(fs) + 0.5) / (n[1] + 1)) - np.log((len(by[0].get(x, ())) + 0.5) / (n[0] + 1)) >= min_lift and len(by[0].get(x, ())) <= 0.05 * len(fs)}
-    return [np.array([bool(t) and not tells.isdisjoint(features(w)) for w in ws], np.float64) for ws, t in zip(words, toxic)]
+    fam, kind = families(texts), np.array(toxic)
+    n = [len(np.unique(fam[kind == c])) for c in (0, 1)]
+    clean, bad = (lexicon.families_by_feature(np.where(kind == c, fam, -1)) for c in (0, 1))
+    lift = np.log((bad + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+    total, share = bad + clean, n[1] / max(1, sum(n))
+    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total.max(initial=0) + 1)))])
+    # that so many of its families are toxic ones if each were so by the classes' shares alone: the binomial tail's first and largest term
+    tail = log_fact[total] - log_fact[bad] - log_fact[clean] + bad * np.log(max(share, 1e-12)) + clean * np.log(max(1 - share, 1e-12))
+    tells = (bad >= min_share * n[1]) & (lift >= min_lift) & (tail <= np.log(chance)) & (clean <= 0.05 * bad)
+    hot = np.bincount(lexicon.rows, tells[lexicon.cols], len(lexicon.words)) > 0
+    return (hot[lexicon.word] & (np.repeat(kind, lexicon.lens) == 1)).astype(float)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> ToxicModel:
     """Maximise the conditional likelihood of the labelled tokens by full-batch adaptive gradient steps."""
-    labels = token_labels(texts, toxic)
-    words = [WORD.findall(t.lower()) for t in texts]
-    flat = [w for ws in words for w in ws]
-    if not flat:
+    lex = Lexicon(texts)
+    wid, ids, lens = lex.word, lex.words, lex.lens
+    if not len(wid):
         return ToxicModel({}, -30.0, [[0.0, 0.0], [0.0, 0.0]], 0.0, 0.34)
-    y = np.concatenate(labels)
-    ids: dict[str, int] = {}
-    wid = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, len(flat))
-    hot_words = set(np.array(flat, object)[y > 0])
-    use = Counter(x for w in ids for x in features(w))
-    hot_features = {x for w in hot_words for x in features(w)}
-    fids: dict[str, int] = {}
-    rows, cols = [], []
-    for w, i in ids.items():
-        for x in features(w):
-            if use[x] > 1 or x in hot_features:  # a feature of one clean word tells no more than the bias
-                rows.append(i)
-                cols.append(fids.setdefault(x, len(fids)))
-    rows_a, cols_a = np.array(rows, np.int64), np.array(cols, np.int64)
-    lens = np.array([len(w) for w in words], np.int64)
+    y = token_labels(lex, texts, toxic)
+    hot_words = np.bincount(wid, y, len(ids)) > 0
+    # a feature of one clean word tells no more than the bias
+    used = (np.bincount(lex.cols, minlength=len(lex.features)) > 1) | (np.bincount(lex.cols, hot_words[lex.rows], len(lex.features)) > 0)
+    fids = {x: k for k, x in enumerate(x for x, u in zip(lex.features, used) if u)}
+    number = np.cumsum(used) - 1
+    rows_a, cols_a = lex.rows[used[lex.cols]], number[lex.cols[used[lex.cols]]]
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     begins = starts[lens > 0]
-    inner = np.ones(len(flat), bool)
+    inner = np.ones(len(wid), bool)
     inner[begins] = False
     inner_at = np.flatnonzero(inner)
     y0, y1 = y[inner_at - 1], y[inner_at]
@@ -205,8 +225,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
         gw = np.bincount(cols_a, np.bincount(wid, gap, len(ids))[rows_a], len(fids)) * scale - l2 * w
         a, b = fw[inner_at - 1], ed[inner_at] * bw[inner_at]
         e = np.exp(tr)
-        x = np.stack([np.full(len(a), e[0, 0]), e[0, 1] * b, e[1, 0] * a, e[1, 1] * a * b])
-        expected = (x / x.sum(0)).sum(1).reshape(2, 2)
+        one = 1 / (e[0, 0] + e[0, 1] * b + e[1, 0] * a + e[1, 1] * a * b)
+        expected = e * np.array([[one.sum(), (b * one).sum()], [(a * one).sum(), (a * b * one).sum()]])
         go = np.concatenate([[gap.sum() * scale], ((seen_tr - expected) * scale).ravel() - l2 * tr.ravel(), [gap[begins].sum() * scale]])
         g2["w"] += gw * gw
         g2["o"] += go * go
@@ -224,8 +244,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled documents of each class, chosen by a hash of the identifier, whole and in a fixed order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(h, lid, lab, txt) of at most ``per_class`` labelled documents of each class, chosen by a hash of the identifier, whole.
 
     Identifiers are chosen among the labels first: at most 2 * per_class of them are broadcast to the one scan of documents.
     Documents with contradictory labels, null labels, identifiers or texts are not used.
@@ -234,9 +254,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     own = own.groupBy("lid").agg(F.min("lab").alias("lab"), F.max("lab").alias("most")).where("lab = most").select("lid", "lab", F.xxhash64("lid").alias("h"))
     chosen = own.where("lab = 1").orderBy("h", "lid").limit(per_class).unionByName(own.where("lab = 0").orderBy("h", "lid").limit(per_class))
     texts = docs.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").alias("txt")).where("did is not null and txt is not null")
-    got = texts.join(F.broadcast(chosen), F.col("did") == F.col("lid")).select("h", "lid", "lab", "txt").toPandas()
-    got = got.drop_duplicates().sort_values(["h", "lid", "txt"])
-    return got["txt"].tolist(), got["lab"].astype(int).tolist()
+    return texts.join(F.broadcast(chosen), F.col("did") == F.col("lid")).select("h", "lid", "lab", "txt").distinct()
+
+
+def fitted(sample: DataFrame) -> ToxicModel:
+    """The model of a sample, fitted in one task: the driver gets the weights alone, neither the texts nor the token tables."""
+
+    def run(batches):
+        got = pd.concat([pd.DataFrame({"h": [], "lid": [], "lab": [], "txt": []}), *batches]).sort_values(["h", "lid", "txt"])
+        yield pd.DataFrame({"model": [json.dumps(vars(fit(got["txt"].tolist(), got["lab"].astype(int).tolist())))]})
+
+    row = sample.repartition(1).mapInPandas(run, "model string").first()
+    return ToxicModel(**json.loads(row["model"])) if row else fit([], [])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -250,8 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col:
     Defined cases: a null or empty text has score 0 and no spans; without labels of both kinds nothing is toxic;
     repeated rows score alike; an empty table stays empty; where docs has a column of such a name, underscores are appended to the new one's.
     """
-    texts, kinds = labelled_sample(docs, labels, per_class, id_col, text_col, label_col)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts, kinds))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, per_class, id_col, text_col, label_col)))
     names = [free_name(docs, c) for c in ("toxic_score", "is_toxic", "toxic_spans")]
     fields = T.StructType([*docs.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(names, SCORES.fields)]])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
