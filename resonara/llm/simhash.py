@@ -59,7 +59,8 @@ def signatures(texts: list[str | None]) -> list[tuple[int, int] | None]:
 
 def _signature_batches(batches):
     for batch in batches:
-        sigs = signatures(batch.column("text").to_pylist())
+        texts = batch.column("text").to_pylist()
+        sigs = [s for k in range(0, len(texts), 512) for s in signatures(texts[k : k + 512])]  # features of few texts are held at a time
         yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([None if s is None else s[k] for s in sigs], pa.int64()) for k in (0, 1)]], names=["id", "s0", "s1"])
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, packed
+from .common import free_name
 
 WORD = re.compile(r"\w+")
+#: Words whose chains are read side by side, about; texts are whole.
+CHAIN_WORDS = 1_500_000
 SCORES = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -89,23 +91,29 @@ class ToxicModel:
         memo, tr, first = Emissions(), np.exp(np.array(self.transition)), float(np.exp(self.start))
 
         def tag(texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
-            words = [WORD.findall(t.lower()) if t else [] for t in texts]
-            lens = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else lens
-            d = np.fromiter((memo[w] for ws in words for w in ws), np.float64, int(lens.sum()))
-            fw, bw = chain(np.exp(np.clip(d, -30, 30)), starts, lens, tr, first)
-            odds = fw * bw
-            p = odds / (1 + odds)
-            hot = np.flatnonzero(p >= 0.5)
             out: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])] * len(texts)
-            if len(hot):
-                owner = np.searchsorted(starts + lens, hot, side="right")
-                for i in np.unique(owner):
-                    mine = hot[owner == i]
-                    m = float(p[mine].sum())
-                    out[i] = (m / (1 + m), spans_of(texts[i], mine - starts[i]))
+            held: list[np.ndarray] = []
+            first_held = size = 0
+            for i, t in enumerate(texts):  # words are held for one text, their emissions for CHAIN_WORDS
+                held.append(np.fromiter(map(memo.__getitem__, WORD.findall(t.lower())), np.float64) if t else np.zeros(0))
+                size += len(held[-1])
+                if size >= CHAIN_WORDS or i == len(texts) - 1:
+                    read(texts, out, first_held, held)
+                    held, first_held, size = [], i + 1, 0
             return out
 
+        def read(texts, out, begin: int, held: list[np.ndarray]) -> None:
+            lens = np.fromiter(map(len, held), np.int64, len(held))
+            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            fw, bw = chain(np.exp(np.clip(np.concatenate(held), -30, 30)), starts, lens, tr, first)
+            fw *= bw
+            hot = np.flatnonzero(fw >= 1)
+            p = fw[hot] / (1 + fw[hot])
+            owner = np.searchsorted(starts + lens, hot, side="right")
+            for i in np.unique(owner):
+                m = float(p[owner == i].sum())
+                out[begin + i] = (m / (1 + m), spans_of(texts[begin + i], hot[owner == i] - starts[i]))
+
         return tag
 
 
@@ -298,5 +306,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that ``toxicity`` does not find toxic, with their own columns."""
-    rows = packed(docs, F.col(f"`{params.get('id_col', 'doc_id')}`").alias("doc_id"), F.col(f"`{params.get('text_col', 'text')}`").alias("text"))
-    return toxicity(rows, labels, per_class=params.get("per_class", 1000)).where(~F.col("is_toxic")).select("r.*")
+    flag = free_name(docs, "is_toxic")
+    return toxicity(docs, labels, **params).where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
