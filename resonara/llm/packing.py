@@ -24,7 +24,7 @@ def sweep(waiting: DataFrame, gaps: DataFrame, high: int, capacity: int, lanes:
     which is the least that holds it among those that larger documents left. Brackets that belong together follow each
     other within one nesting level, and the level of a row is its rank: gaps before it less documents before it. So a
     running sum and a look at the predecessor within the level settle the whole round. A gap that surely holds several
-    documents of this band (none is over ``high``) counts as so many equal ones. Where documents find no gap, one opens a
+    of the waiting documents (none is over ``high``) counts as so many equal ones. Where documents find no gap, one opens a
     sequence each time that their running total passes another capacity.
     """
     lane = lambda c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(lanes)).alias("lane")
@@ -68,12 +68,12 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     band = F.lit(-1)
     for k, (high, _) in enumerate(edges):
         band = F.when(F.col("size") <= (high if k else capacity - 1), k).otherwise(band)
-    many = {r["band"]: r["n"] for r in pieces.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
+    many = {r["band"]: (r["n"], r["most"]) for r in pieces.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max("size").alias("most")).collect()}
     placed = [pieces.where(F.col("size") == capacity).select("item", F.col("item").alias("bin"))]
     gaps = None
     step = 0
-    for k, (high, _) in enumerate(edges):
-        left = many.get(k, 0)
+    for k in range(len(edges)):
+        left, high = many.get(k, (0, 0))
         waiting = pieces.where(band == k).select("item", "size")
         while left:
             step += 1
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
             shelf.drop(gaps)
             gaps, waiting = shrunk, got.where("bin is null").select("item", "size")
             placed.append(got.where("bin is not null").select("item", "bin"))
-            left = waiting.count()
+            left, high = waiting.agg(F.count("*"), F.max("size")).first()
     where = placed[0]
     for p in placed[1:]:
         where = where.unionByName(p)
