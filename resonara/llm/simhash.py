@@ -80,7 +80,7 @@ def _segment(first: int, width: int, s0: Column, s1: Column) -> Column:
     return F.shiftrightunsigned(word, 64 - first % 64 - width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
 
-def near_pairs(sigs: DataFrame, segments: int = 6, radius: int = 20) -> DataFrame:
+def near_pairs(sigs: DataFrame, segments: int = 6, radius: int = 22) -> DataFrame:
     """Pairs (a0, a1, b0, b1, distance) of distinct signatures within ``radius`` bits that share a segment up to one bit.
 
     Every pair within 2 * segments - 1 bits shares one (were all segments to differ by two, there would be more).
@@ -137,7 +137,7 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         before = sums
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 6, radius: int = 20) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 6, radius: int = 22) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's smallest doc_id.
 
     128-bit SimHash over distinct longer words. Equal signatures are one node, so exact copies cost nothing; nodes within
