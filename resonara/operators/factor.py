@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -151,7 +153,7 @@ def _loop(parts: DataFrame, keys: list[str], length: int | None, crossfade: int)
     return loop_trim(parts, length, crossfade, keys)
 
 
-def render_components(frames: DataFrame, masks: DataFrame, mono: DataFrame, rate: float, n_fft: int, hop: int, loop: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def render_components(frames: DataFrame, masks: DataFrame, mono: DataFrame, rate: float, n_fft: int, hop: int, loop: tuple[int, int] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(components, samples): components (track, idx, kind, energy, pitch...), samples (track, idx, ch, i, x).
 
     masks: (track, kind, part, t, mask). Percussive ones come first, each kind by falling energy; a loop is trimmed and crossfaded, else cut to the signal.
@@ -163,6 +165,7 @@ def render_components(frames: DataFrame, masks: DataFrame, mono: DataFrame, rate
     else:
         size = mono.groupBy("track").agg(F.max("i").alias("last"))
         cut = raw.join(size, "track").where(F.col("i") <= F.col("last")).drop("last")
+    cut = keep(cut)
     first = cut.where("ch = 0")
     energy = first.groupBy("track", "part").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy"))
     kind = F.substring_index("part", ":", 1)
@@ -174,16 +177,17 @@ def render_components(frames: DataFrame, masks: DataFrame, mono: DataFrame, rate
     return components, cut.join(ranked.select("track", "part", "idx"), ["track", "part"]).select("track", "idx", "ch", "i", "x")
 
 
-def separate(signal: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512, iterations: int = 80, percussive: int | None = None, harmonic: int | None = None, loop: tuple[int, int] | None = None, seeds: tuple[int, int] = (1, 7)) -> tuple[DataFrame, DataFrame]:
+def separate(signal: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512, iterations: int = 80, percussive: int | None = None, harmonic: int | None = None, loop: tuple[int, int] | None = None, seeds: tuple[int, int] = (1, 7), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Components and their samples of each track of (track, ch, i, x), see ``render_components``.
 
     Masks come from the mean of the channels and are laid on each channel. A count fixes a stream's components; None lets shares and
-    clustering decide.
+    clustering decide. ``keep`` is applied to what is used more than once, the stream masks, the component masks and the rendered
+    samples: a function that writes a table and returns it has each of them computed once.
     """
     from .arrange import downmix
 
     mono = downmix(signal).select("track", F.lit(0).alias("ch"), "i", "x")
-    masked = hpss_masks(cells(stft(mono, n_fft, hop)).select("track", "t", "b", "mag"))
+    masked = keep(hpss_masks(cells(stft(mono, n_fft, hop)).select("track", "t", "b", "mag")))
     ranks = stream_ranks(masked, percussive, harmonic)
     streams = []
     for kind, seed, given in (("percussive", seeds[0], percussive), ("harmonic", seeds[1], harmonic)):
@@ -191,14 +195,14 @@ def separate(signal: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512,
         rank = ranks.select("track", F.col(f"k_{kind}").alias("rank")).where("rank > 0")
         streams.append(component_masks(rows.join(rank, "track").select("track", F.lit(kind).alias("stream"), F.lit(seed).alias("seed"), "rank", "t", F.col("z.v").alias("v"), F.col("z.m").alias("stream_mask")), iterations, given is None))
     masks = streams[0].unionByName(streams[1]).withColumnRenamed("stream", "kind")
-    return render_components(stft(signal, n_fft, hop), masks, mono, rate, n_fft, hop, loop)
+    return render_components(stft(signal, n_fft, hop), masks, mono, rate, n_fft, hop, loop, keep)
 
 
-def split(signal: DataFrame, kind: str, count: int, rate: float, n_fft: int = 2048, hop: int = 512, iterations: int = 80) -> tuple[DataFrame, DataFrame]:
+def split(signal: DataFrame, kind: str, count: int, rate: float, n_fft: int = 2048, hop: int = 512, iterations: int = 80, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """``count`` finer parts of each track, which is one component of ``kind``; they sum to it."""
     from .arrange import downmix
 
     mono = downmix(signal).select("track", F.lit(0).alias("ch"), "i", "x")
     rows = stft(mono, n_fft, hop).select("track", "t", F.zip_with("re", "im", F.hypot).alias("v"))
     masks = component_masks(rows.select("track", F.lit(kind).alias("stream"), F.lit(1).alias("seed"), F.lit(count).alias("rank"), "t", "v", F.transform("v", lambda _: F.lit(1.0)).alias("stream_mask")), iterations, auto=False)
-    return render_components(stft(signal, n_fft, hop), masks.withColumnRenamed("stream", "kind"), mono, rate, n_fft, hop)
+    return render_components(stft(signal, n_fft, hop), masks.withColumnRenamed("stream", "kind"), mono, rate, n_fft, hop, keep=keep)

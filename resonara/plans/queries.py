@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import arrange, factor, match, parts, pitch, spectral, stretch, tempo
 from ..sources import wav
+from ..sources.shelf import Shelf
 from ..sources.tables import components, days, hours, sides, table, vectors
 
 N, HOP = 64, 16
@@ -144,7 +145,7 @@ def cluster_components(spark, d):
 
 def separate_stems(spark, d):
     """No SQL: 80 iterations. Tests hold the sum of the parts against the input."""
-    made, _ = factor.separate(hours(spark, d), 48.0, N, HOP)
+    made, _ = factor.separate(hours(spark, d), 48.0, N, HOP, keep=Shelf(spark, "separate").put)
     return made.select("track", "idx", "kind", "energy", "pitch.name", "pitch.confidence")
 
 
