@@ -1,58 +1,13 @@
-"""What the corpus operators share: durable cuts of lineage and clash-free columns."""
+"""What the corpus operators share: clash-free columns, durable cuts of lineage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is made, and only in local mode, where driver and
-    executors are one process.
-    """
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = made = tempfile.mkdtemp(prefix="resonara-")
-        atexit.register(shutil.rmtree, made, True)
-    return "file://" + _own[sc.applicationId]
-
-
-class Shelf:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write df and return the written table; its path is in ``df.shelf_path``."""
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out.shelf_path = path
-        return out
+from ..sources.shelf import Shelf, shared_folder
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.shelf_path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["Shelf", "free_name", "packed", "shared_folder", "table"]
 
 
 def packed(df: DataFrame, *computed, name: str = "r") -> DataFrame:
