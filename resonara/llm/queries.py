@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_preferences, swapped_answers
 from .common import table
@@ -14,7 +15,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .pii import surrogates
 from .simhash import near_duplicates
-from .sql import CHAT_SQL, EXACT_SQL, MIX_SQL, TOP_K_SQL
+from .sql import CHAT_SQL, EXACT_SQL, LM_SQL, MIX_SQL, NEAR_SQL, TOP_K_SQL
 from .tokens import token_counts
 from .topk import top_k
 from .toxicity import toxicity
@@ -54,7 +55,7 @@ def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, d: str) -> DataFrame:
-    return lm_score(table(spark, d, "documents"))
+    return lm_score(table(spark, d, "documents")).withColumns({c: F.round(c, 6) for c in ("log_prob", "bits_per_byte")})
 
 
 def op10_preferences(spark: SparkSession, d: str) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_preferences": op10_preferences,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op7_top_k": TOP_K_SQL, "op8_exact_dedup": EXACT_SQL, "op10_preferences": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op5_near_duplicates": NEAR_SQL, "op7_top_k": TOP_K_SQL, "op8_exact_dedup": EXACT_SQL, "op9_lm_score": LM_SQL, "op10_preferences": CHAT_SQL}

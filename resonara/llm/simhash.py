@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +45,7 @@ def signatures(texts: list[str | None]) -> list[tuple[int, int] | None]:
         while j < len(have) and (j == i or n + lens[have[j]] <= step):
             n += lens[have[j]]
             j += 1
-        digest = xxhash.xxh3_128_digest
-        raw = b"".join([digest(f) for k in have[i:j] for f in feats[k]])
+        raw = b"".join([md5(f.encode()).digest() for k in have[i:j] for f in feats[k]])
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1)
         at = np.concatenate([[0], np.cumsum(lens[have[i:j]])[:-1]])
         ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
@@ -140,7 +139,7 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 6, radius: int = 22) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's smallest doc_id.
 
-    128-bit SimHash over distinct longer words. Equal signatures are one node, so exact copies cost nothing; nodes within
+    128-bit SimHash, by MD5, over distinct longer words. Equal signatures are one node, so exact copies cost nothing; nodes within
     ``radius`` bits that differ by at most one bit in one of ``segments`` segments are joined by equality and verified
     (certain up to 2 * segments - 1 bits, likely beyond), and a group is a connected component. More documents than
     about 2 ** 27 ask for wider, that is fewer, segments: a key then keeps few unrelated signatures.

@@ -60,3 +60,42 @@ SELECT conv_id, coalesce(prompt, '') AS prompt, CAST(n AS INTEGER) AS n_prompt_t
        coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask
 FROM g JOIN m USING (conv_id) WHERE conv_id IN (SELECT conv_id FROM b)
 """
+
+#: Every sequence of a document is a seen one, so its probability is the smoothed one of five bytes, and no failure arc is taken.
+LM_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     l AS (SELECT row, doc_id, unnest(list_concat(regexp_extract_all(h, '..'), ['FF'])) AS x, generate_subscripts(list_concat(regexp_extract_all(h, '..'), ['FF']), 1) AS pos FROM d),
+     b AS (SELECT row, doc_id, pos, ('0x' || x)::BIGINT AS x FROM l),
+     g AS (SELECT row, doc_id, lag(x, 4, 0) OVER w * 4294967296 + lag(x, 3, 0) OVER w * 16777216 + lag(x, 2, 0) OVER w * 65536 + lag(x, 1, 0) OVER w * 256 + x AS g FROM b WINDOW w AS (PARTITION BY row ORDER BY pos)),
+     c5 AS (SELECT g, count(*)::DOUBLE AS n FROM g GROUP BY 1),
+     c4 AS (SELECT g & 4294967295 AS g, sum(n) AS n FROM c5 GROUP BY 1), c3 AS (SELECT g & 16777215 AS g, sum(n) AS n FROM c4 GROUP BY 1),
+     c2 AS (SELECT g & 65535 AS g, sum(n) AS n FROM c3 GROUP BY 1), c1 AS (SELECT g & 255 AS g, sum(n) AS n FROM c2 GROUP BY 1),
+     p1 AS (SELECT g, (n + count(*) OVER () / 256.0::DOUBLE) / (sum(n) OVER () + count(*) OVER ()) AS p FROM c1),
+     p2 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c2 c JOIN p1 ON p1.g = (c.g & 255) WINDOW w AS (PARTITION BY c.g >> 8)),
+     p3 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c3 c JOIN p2 ON p2.g = (c.g & 65535) WINDOW w AS (PARTITION BY c.g >> 8)),
+     p4 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c4 c JOIN p3 ON p3.g = (c.g & 16777215) WINDOW w AS (PARTITION BY c.g >> 8)),
+     p5 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c5 c JOIN p4 ON p4.g = (c.g & 4294967295) WINDOW w AS (PARTITION BY c.g >> 8)),
+     s AS (SELECT row, doc_id, count(*) - 1 AS n_bytes, sum(ln(p)) AS lp FROM g JOIN p5 USING (g) GROUP BY ALL)
+SELECT doc_id, n_bytes, round(lp, 6) AS log_prob, round(-lp / ln(2.0::DOUBLE) / (n_bytes + 1), 6) AS bits_per_byte FROM s
+"""
+
+_SEGMENTS = [("h", 43, 21), ("h", 21, 22), ("h", 0, 21), ("l", 43, 21), ("l", 21, 22), ("l", 0, 21)]
+
+#: SimHash by MD5 bits; every pair of signatures is compared, and counts if it is within 22 bits and a segment differs by at most one.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT row, doc_id, word, pos FROM (SELECT row, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+       FROM (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
+     n AS (SELECT row, count(DISTINCT word) FILTER (WHERE length(word) >= 5) AS long FROM w GROUP BY 1),
+     f AS (SELECT DISTINCT row, doc_id, word AS feature FROM w JOIN n USING (row) WHERE long < 16 OR length(word) >= 5
+           UNION SELECT row, doc_id, word || ' ' || follows FROM (SELECT *, lead(word) OVER (PARTITION BY row ORDER BY pos) AS follows FROM w) JOIN n USING (row) WHERE long < 16 AND follows IS NOT NULL),
+     m AS MATERIALIZED (SELECT row, doc_id, ('0x' || substr(md5(feature), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(feature), 17, 16))::UBIGINT AS l FROM f),
+     v AS (SELECT row, doc_id, b, 2 * sum((h >> b) & 1) > count(*) AS hi, 2 * sum((l >> b) & 1) > count(*) AS lo FROM m, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL),
+     g AS MATERIALIZED (SELECT row, doc_id, sum(CASE WHEN hi THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS h, sum(CASE WHEN lo THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS l FROM v GROUP BY ALL),
+     s AS MATERIALIZED (SELECT h, l, min(doc_id) AS least, count(*) AS n FROM g GROUP BY ALL),
+     e AS MATERIALIZED (SELECT a.least AS u, b.least AS v FROM s a JOIN s b ON (a.h, a.l) <> (b.h, b.l)
+           WHERE bit_count(xor(a.h, b.h)) + bit_count(xor(a.l, b.l)) <= 22 AND (""" + " OR ".join(f"bit_count((xor(a.{x}, b.{x}) >> {at}) & {(1 << width) - 1}) <= 1" for x, at, width in _SEGMENTS) + r""")),
+     r AS (SELECT least AS node, least AS root FROM s UNION SELECT e.v, r.root FROM r JOIN e ON r.node = e.u),
+     c AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
+     k AS (SELECT doc_id, min(root) AS keep_id FROM g JOIN s USING (h, l) JOIN c ON c.node = s.least GROUP BY 1)
+SELECT doc_id, keep_id FROM k WHERE doc_id <> keep_id
+"""
