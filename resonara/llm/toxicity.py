@@ -19,7 +19,7 @@ from .common import free_name
 
 WORD = re.compile(r"\w+")
 #: Words whose chains are read side by side, about; texts are whole.
-CHAIN_WORDS = 1_500_000
+CHAIN_WORDS = 1_000_000
 SCORES = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -80,7 +80,7 @@ class ToxicModel:
 
         class Emissions(dict):
             def __missing__(self, w):
-                if len(self) > 1_000_000:
+                if len(self) > 400_000:
                     self.clear()
                 v = bias
                 for f in features(w):
