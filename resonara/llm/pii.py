@@ -31,7 +31,7 @@ ENTITY = re.compile(
     r"|(?:\b(?:pass(?:word|wd)|pwd|token|secret|api_?key)\s?[=:]\s?[\"']?(?P<secret>[^\s\"'<>,;]{6,}))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\w))"
-    r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{3})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.-])\+\d{7,15}(?!\w))"
     rf"|(?:\b(?P<title>{_TITLE})\b\.?\s(?P<titled>{_NAME}(?:\s{_NAME})?))"

@@ -22,6 +22,12 @@ def test_detection():
         assert find(clean) == [], clean
 
 
+def test_neighbours_stay_apart():
+    assert kinds("4495114827612972 17.57.238.115") == [("card", "4495114827612972"), ("ip", "17.57.238.115")]
+    assert kinds("4111 1111 1111 1111 123.45.67.89") == [("card", "4111 1111 1111 1111"), ("ip", "123.45.67.89")]
+    assert kinds("+1 (988) 555-2485 4495114827612972") == [("phone", "+1 (988) 555-2485"), ("card", "4495114827612972")]
+
+
 def test_type_gender_script_and_format():
     assert re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", one("+1 (274) 555-9629")) and one("+1 (274) 555-9629")[1] == "1"
     card = one("4111-1111-1111-1111")
