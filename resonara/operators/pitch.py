@@ -11,8 +11,8 @@ from .spectral import cells, stft
 
 NAMES = "C C# D D# E F F# G G# A A# B".split()
 #: Krumhansl-Kessler key profiles.
-MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
-MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
+MAJOR = tuple(map(float, "6.35 2.23 3.48 2.33 4.38 4.09 2.52 5.19 2.39 3.66 2.29 2.88".split()))
+MINOR = tuple(map(float, "6.33 2.68 3.52 5.38 2.60 3.53 2.54 4.75 3.98 2.69 3.34 3.17".split()))
 UNPITCHED = "—"
 
 

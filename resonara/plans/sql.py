@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-PI = "3.141592653589793::DOUBLE"
+from ..operators import pitch
+
 TAU = "6.283185307179586::DOUBLE"
 
 EV = """
@@ -148,9 +149,9 @@ cm AS (SELECT track, pc, sum(mag) AS m FROM emb JOIN pc USING (b) GROUP BY ALL),
 cg AS (SELECT track, pc, coalesce(m, 0.0::DOUBLE) AS m FROM (SELECT DISTINCT track FROM emb) CROSS JOIN (SELECT unnest(range(0, 12))::INTEGER AS pc) LEFT JOIN cm USING (track, pc)),
 ch AS MATERIALIZED (SELECT track, pc, CASE WHEN sum(m) OVER w > 0 THEN m / sum(m) OVER w ELSE 0.0::DOUBLE END AS p FROM cg WINDOW w AS (PARTITION BY track)),
 tn AS (SELECT track, 1.0::DOUBLE + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0::DOUBLE END) / ln(12.0::DOUBLE) AS tonality FROM ch GROUP BY 1),
-pr AS (SELECT 'major' AS mode, [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]::DOUBLE[] AS v UNION ALL SELECT 'minor', [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]::DOUBLE[]),
+pr AS (SELECT 'major' AS mode, {major}::DOUBLE[] AS v UNION ALL SELECT 'minor', {minor}::DOUBLE[]),
 ky AS (SELECT track, tonic, mode, coalesce(corr(p, v[(pc - tonic + 12) % 12 + 1]), 0.0::DOUBLE) AS r FROM ch, (SELECT unnest(range(0, 12))::INTEGER AS tonic), pr GROUP BY ALL),
-dk AS (SELECT track, tonic, mode, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][tonic + 1] || ' ' || mode AS name, r AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(r, 12) DESC, tonic, mode) AS n FROM ky) WHERE n = 1)"""
+dk AS (SELECT track, tonic, mode, {names}[tonic + 1] || ' ' || mode AS name, r AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(r, 12) DESC, tonic, mode) AS n FROM ky) WHERE n = 1)""".format(major=list(pitch.MAJOR), minor=list(pitch.MINOR), names=pitch.NAMES)
 
 SIDES = """
 sd AS (SELECT label::VARCHAR AS pair, vec_id AS idx, vec_id % 3 <> 0 AS tonal, embedding::DOUBLE[] AS v FROM embeddings),
