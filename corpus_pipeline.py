@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from resonara.llm.common import shared_folder, table
 from resonara.llm.exact import exact_dedup
 from resonara.llm.mixing import mix_sources
-from resonara.llm.packing import pack
+from resonara.llm.packing import pack_tokens
 from resonara.llm.simhash import drop_near_duplicates
 from resonara.llm.toxicity import drop_toxic
 
@@ -34,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack_tokens(docs)
 
 
 STAGES = [

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf
+from .tokens import RANKS, token_counts
 
 #: Documents that one lane of a round's sweep holds, about.
 LANE_ROWS = 200_000
 
 
 def token_estimate(text):
-    """One token for four bytes of UTF-8, and one that ends the document."""
+    """One token for four bytes of UTF-8, and one that ends the document: a guess, which no registered query uses (see ``pack_tokens``)."""
     return (F.lit(1) + F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / F.lit(4))).cast("bigint")
 
 
@@ -98,3 +99,12 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     inside = Window.partitionBy("bin").orderBy(F.desc("size"), "item")
     laid = pieces.join(where, "item").withColumn("bin_offset", F.sum("size").over(inside) - F.col("size"))
     return laid.select("doc_id", "piece", F.col("bin").alias("bin_id"), "bin_offset", F.col("size").alias("n_tokens"))
+
+
+def pack_tokens(docs: DataFrame, capacity: int = 2048, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+    """``pack`` by the tokens of a vocabulary file, as ``token_counts`` counts them, and one that ends the document.
+
+    Piece k of a document is its tokens from k * capacity on. Null and empty texts are the end token alone.
+    """
+    counted = token_counts(docs, ranks, id_col=id_col, text_col=text_col)
+    return pack(counted, capacity, text_col="n_tokens", length=lambda n: F.lit(1).cast("bigint") + F.coalesce(n, F.lit(0)), seed=seed)

@@ -12,7 +12,7 @@ from .common import table
 from .exact import exact_dedup
 from .lm import lm_score
 from .mixing import mix_sources
-from .packing import pack
+from .packing import pack_tokens
 from .pii import surrogates
 from .simhash import near_duplicates
 from .sql import CHAT_SQL, EXACT_SQL, LM_SQL, MIX_SQL, NEAR_SQL, TOP_K_SQL
@@ -26,7 +26,7 @@ def op1_surrogates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"))
+    return pack_tokens(table(spark, d, "documents"))
 
 
 def op3_mix_sources(spark: SparkSession, d: str) -> DataFrame:

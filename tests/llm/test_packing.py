@@ -1,12 +1,16 @@
 import bisect
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from resonara.llm.packing import pack, sweep
+from resonara.llm.packing import pack, pack_tokens, sweep
+from resonara.llm.queries import op2_pack
+from resonara.llm.tokens import RANKS, encoding
 
 C = 128
+SF = "/root/testdata/sf0.001"
 
 
 def packed(spark, sizes, capacity=C):
@@ -74,3 +78,27 @@ def test_sweep_gives_each_document_the_least_free_gap(spark):
         want.append((s, free.pop(k) if k < len(free) else None))
     gap = dict(gaps)
     assert sorted((s, gap.get(got[i]) or 0) for i, s in items) == sorted((s, g or 0) for s, g in want)
+
+
+def test_registered_uses_pack_real_tokens(spark):
+    """Every document's pieces add up to its tokens and an end token, and no sequence holds more of them than the capacity."""
+    enc, _ = encoding(RANKS)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += 1 + len(enc.encode_ordinary(r.text or ""))
+    for rows in (op2_pack(spark, SF).collect(), corpus_pipeline.packing_stage(spark, docs, SF).collect()):
+        got, full = Counter(), Counter()
+        for r in rows:
+            got[r.doc_id] += r.n_tokens
+            full[r.bin_id] += r.n_tokens
+        assert got == want and max(full.values()) <= 2048
+
+
+def test_tokens_of_null_empty_huge_and_repeated_rows(spark):
+    enc, _ = encoding(RANKS)
+    huge = "один два three " * 4000
+    df = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, huge), (None, huge)], "key long, n_tokens string")
+    rows = pack_tokens(df, id_col="key", text_col="n_tokens").collect()
+    assert [r.n_tokens for r in rows if r.doc_id] == [1, 1, 1]
+    assert sum(r.n_tokens for r in rows if r.doc_id is None) == 2 * (1 + len(enc.encode_ordinary(huge)))
