@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -87,10 +88,33 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "phone" and not 7 <= len(digits) <= 15:
             continue
         canon = digits if kind in ("card", "phone", "ssn") else s.replace(" ", "") if kind == "iban" else s.lower() if kind == "email" else s
-        out.append((a, b, kind, canon))
+        if drawable(kind, canon):
+            out.append((a, b, kind, canon))
     return out
 
 
+def _class(c: str) -> tuple[str, str]:
+    """Script (the first word of the Unicode name) and general category of a character."""
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+
+
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The characters of c's script and category in its block of 256, by which a drawn one stays in script and case; basic Latin ones where it has no peer."""
+    base, own = ord(c) & ~255, _class(c)
+    found = "".join(x for x in map(chr, range(base, base + 256)) if _class(x) == own and len(x.upper()) == 1 and x.upper().lower() == x.lower())
+    return found if len(found) > 1 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else "abcdefghijklmnopqrstuvwxyz"
+
+
+_HEAD = re.compile(r"AKIA|ASIA|gh[opsu]_|sk-|")
+
+
+def drawable(kind: str, canon: str) -> bool:
+    """Whether a surrogate can differ from the entity: a value of symbols only, such as a mask of asterisks, tells nothing and is no entity."""
+    drawn = canon.rpartition(".")[0] if kind == "email" else canon[_HEAD.match(canon).end() :] if kind == "secret" else "x"
+    return any(map(str.isalnum, drawn))
+
+
 class Draw:
     """A stream of numbers from HMAC-SHA256 under a key."""
 
@@ -111,12 +135,16 @@ class Draw:
             return "0123456789"[self.below(10)]
         if c.isascii() and c.isalpha():
             return chr((65 if c.isupper() else 97) + self.below(26))
+        if c.isalnum():
+            same = _alphabet(c)
+            return same[self.below(len(same))]
         return c
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form of what stands for an entity; a later attempt gives another one."""
     d = Draw(key, kind, canon, attempt)
+    longer = lambda: "".join(d.like("a") for _ in range(attempt // 8))  # noqa: E731  where so few characters can be drawn that all their values are taken
     if kind.startswith("given") or kind == "family":
         parts, fem, masc = SYLLABLES[script_of(canon)]
         word = "".join(parts[d.below(len(parts))] for _ in range(3 + attempt // 2))
@@ -137,18 +165,18 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "email":
         local, _, domain = canon.partition("@")
         host, _, top = domain.rpartition(".")
-        return "".join(map(d.like, local)) + "@" + "".join(map(d.like, host)) + "." + top
+        return "".join(map(d.like, local)) + longer() + "@" + "".join(map(d.like, host)) + "." + top
     if kind == "iban":
         body = "".join(map(d.like, canon[4:]))
         number = "".join(str(int(c, 36)) for c in body + canon[:2])
         return canon[:2] + f"{98 - int(number + '00') % 97:02d}" + body
-    head = re.match(r"AKIA|ASIA|gh[opsu]_|sk-|", canon).group()
+    head = _HEAD.match(canon).group()
     rest = canon[len(head) :]
     if re.fullmatch(r"[0-9a-f]+", rest):
-        return head + "".join("0123456789abcdef"[d.below(16)] for _ in rest)
+        return head + "".join("0123456789abcdef"[d.below(16)] for _ in rest) + longer()
     if re.fullmatch(r"[0-9A-Z]+", rest):
-        return head + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[d.below(36)] for _ in rest)
-    return head + "".join(map(d.like, rest))
+        return head + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[d.below(36)] for _ in rest) + longer()
+    return head + "".join(map(d.like, rest)) + longer()
 
 
 def pour(original: str, kind: str, new: str) -> str:
@@ -180,7 +208,7 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
     """docs with each entity in the text replaced, and the number of replacements in ``count_col``.
 
     Kinds: e-mail and IP addresses, phone, card, social-security and bank-account numbers, access keys and assigned secrets, names after a
-    title or a common given name. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters, a card
+    title or a common given name. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters of the same script and case, a card
     number stays Luhn-valid or invalid, an account number gets its check digits, given names keep their gender, names their script, and each mention its
     letter case and separators. Mentions of one canonical form get one surrogate all over the corpus. Names are replaced by part, so that a later mention of the family name alone agrees.
 
@@ -189,7 +217,7 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
     again need a table: they are joined to the texts that have them by the text's MD5, by broadcast only if Spark finds them small, and all others are
     recomputed from the key. Without any, the texts aren't shuffled.
 
-    Defined cases: null text - null and 0; empty text - empty and 0; identifiers play no part, so null or repeated ones change nothing; no rows - no rows; where
+    Defined cases: a secret or address of symbols only, as a mask of asterisks, is no entity and stays; null text - null and 0; empty text - empty and 0; identifiers play no part, so null or repeated ones change nothing; no rows - no rows; where
     docs has a column named ``count_col``, underscores are appended.
     """
     spark = docs.sparkSession

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 from resonara.llm.pii import find, luhn, pour, replace, script_of, surrogate, surrogates
 
@@ -99,3 +100,26 @@ def test_edges(spark):
     assert len(same) == 1 and r[(4, 200_006)].text.endswith(same.pop())
     assert surrogates(df.limit(0)).count() == 0
     assert pour("AB@C.de", "email", "xy@z.de") == "XY@Z.de"
+
+
+def test_letters_of_other_scripts_are_drawn_and_keep_script_and_case():
+    for value in ("password=Пароль7", "иван@почта.рф", "мария7@mail.com", "secret=κωδικός", "token=日本語の秘密"):
+        was, got = re.split("[=@]", value), re.split("[=@]", one(value))
+        part = 0 if "@" in value else 1
+        letters = [(a, b) for a, b in zip(was[part], got[part]) if a.isalpha()]
+        assert len(was[part]) == len(got[part]) and was[part] != got[part], value
+        assert sum(a == b for a, b in letters) <= len(letters) // 2, value
+        assert all(a.isupper() == b.isupper() for a, b in letters)
+        if not value.startswith("token"):
+            assert all(unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0] for a, b in letters)
+
+
+def test_masks_are_no_entities_and_rounds_end(spark):
+    masks = ["password: ********", "password=sk-****", "%%%@___.com"]
+    assert all(find(t) == [] for t in masks)
+    few = [f"password=*****{k}" for k in range(10)]  # all ten values of the one digit occur
+    texts = masks + few + ["password=пароль", "иван@почта.рф"]
+    got = {r.doc_id: r.text for r in surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(masks))] == masks
+    new = [got[i] for i in range(len(masks), len(texts))]
+    assert len(set(new)) == len(new) and not set(new) & set(texts)
