@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -24,6 +25,7 @@ GIVEN = {
 }
 _GENDER = {n.lower(): g for g, names in GIVEN.items() for n in names}
 _NAME = r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*"
+_POSSESSIVE = re.compile(r"['’][sS]$")
 _TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})"
 
 ENTITY = re.compile(
@@ -78,6 +80,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 spans = [(m.start("given"), m["given"]), (m.start("family"), m["family"])]
             for k, (at, w) in enumerate(spans):
+                w = _POSSESSIVE.sub("", w)
                 given = len(spans) == 2 and k == 0
                 g = _GENDER.get(w.lower(), gender) if given else ""
                 out.append((at, at + len(w), f"given_{g}" if given else "family", w.lower()))
@@ -90,7 +93,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         canon = digits if kind in ("card", "phone", "ssn") else s.replace(" ", "") if kind == "iban" else s.lower() if kind == "email" else s
         if drawable(kind, canon):
             out.append((a, b, kind, canon))
-    return out
+    return mentions(text, out)
+
+
+def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found, and each other place where one of its name parts stands alone: capitalised and a whole word, of two letters at least. A part that has two kinds counts as the first one."""
+    parts: dict[str, str] = {}
+    for _, _, kind, canon in found:
+        if (kind == "family" or kind.startswith("given")) and len(canon) > 1:
+            parts.setdefault(canon, kind)
+    if not parts:
+        return found
+    starts = [a for a, _, _, _ in found]
+    out = list(found)
+    bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)", re.IGNORECASE)
+    for m in bare.finditer(text):
+        a, b = m.span()
+        canon, k = m.group().lower(), bisect.bisect_right(starts, a)
+        if text[a].isupper() and canon in parts and not (k and found[k - 1][1] > a) and not (k < len(found) and starts[k] < b):
+            out.append((a, b, parts[canon], canon))
+    return sorted(out)
 
 
 def _class(c: str) -> tuple[str, str]:
@@ -208,7 +230,7 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
     """docs with each entity in the text replaced, and the number of replacements in ``count_col``.
 
     Kinds: e-mail and IP addresses, phone, card, social-security and bank-account numbers, access keys and assigned secrets, names after a
-    title or a common given name. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters of the same script and case, a card
+    title or a common given name, and the parts of these names wherever else in the document they stand capitalised. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters of the same script and case, a card
     number stays Luhn-valid or invalid, an account number gets its check digits, given names keep their gender, names their script, and each mention its
     letter case and separators. Mentions of one canonical form get one surrogate all over the corpus. Names are replaced by part, so that a later mention of the family name alone agrees.
 

@@ -123,3 +123,15 @@ def test_masks_are_no_entities_and_rounds_end(spark):
     assert [got[i] for i in range(len(masks))] == masks
     new = [got[i] for i in range(len(masks), len(texts))]
     assert len(set(new)) == len(new) and not set(new) & set(texts)
+
+
+def test_later_mentions_without_title_get_the_same_surrogates():
+    text = "Mr. John Smith called. Smith said he is a smith; John agreed. SMITH's mail is smith.j@x.example.com, Smithson's not. Mrs. Weber's dog bit Weber. Dr. I. Low said I know."
+    got = one(text)
+    given, family = got.split()[1], got.split()[2].rstrip(".")
+    assert not re.search(r"John|\bSmith\b|SMITH|Weber", got)
+    assert got.split(". ")[2].startswith(f"{family} said he is a smith; {given} agreed")
+    assert f"{family.upper()}'s mail" in got and "Smithson's" in got
+    dog = re.search(r"Mrs\. (\w+)'s dog bit (\w+)\.", got)
+    assert dog[1] == dog[2] and got.endswith("said I know.")
+    assert sorted(find(text)) == find(text) and all(a[1] <= b[0] for a, b in zip(find(text), find(text)[1:]))
