@@ -1,243 +1,297 @@
-"""Language-model scoring with a weighted backoff automaton over bytes."""
+"""Language-model scoring with a weighted backoff automaton over words."""
 
 from __future__ import annotations
 
 import math
-from urllib.parse import urlparse
+import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shelf
 
-ORDER = 5
-#: A document's bytes stand between ORDER - 1 zero bytes and one of 255, which UTF-8 never has.
-BEGIN, END = 0, 255
-#: Bytes that one run reads.
+#: A word is a run of letters, digits and underscores; any other character but these blanks is a word of its own.
+TOKEN = re.compile(r"\w+|[^\w \t\n\r\f\v]")
+ORDER = 3
+#: Characters of a block of documents, about; a longer document is a block of its own.
+BLOCK_CHARS = 4_000_000
+#: Words of the corpus that one task merges the sequences of, about.
+BUCKET_WORDS = 1_000_000
+#: A hash has so many bits more than the number of the corpus's words has, 64 at most: the chance that a sequence meets a wrong one is the same at every size.
+SPARE_BITS = 26
+#: Words that one run reads.
 RUN = 1024
+BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A99)
 
 
-def framed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts of a batch as one array of bytes, each framed, and where each begins; null is the empty text."""
-    raw = [t.encode() if t else b"" for t in column.to_pylist()]
-    parts = b"".join(b"\0" * (ORDER - 1) + t + b"\xff" for t in raw)
-    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + ORDER
-    return np.frombuffer(parts, np.uint8), np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+def mix(a: np.ndarray | np.uint64, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ORDER bytes up to each predicted byte, as a number whose lowest byte is the predicted one."""
-    code = np.zeros(len(data), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        code = (code << 8) | (data[: len(data) - back] if not back else np.concatenate([np.zeros(back, np.uint8), data[: len(data) - back]]))
-    predicted = np.ones(len(data), bool)
-    for k in range(ORDER - 1):
-        predicted[at[:-1] + k] = False
-    return code[predicted]
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, by planes: of small numbers the upper ones are empty."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _count_batches(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def unsqueeze(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64)
 
-    def merged():
-        codes = np.concatenate([c for c, _ in held])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], np.concatenate([n for _, n in held])[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(n, first)
+
+class _Words(dict):
+    """Hash and length in bytes of words, kept from text to text."""
+
+    def __missing__(self, w: str) -> tuple[int, int]:
+        if len(self) > 500_000:
+            self.clear()
+        raw = w.encode()
+        self[w] = got = (xxhash.xxh3_64_intdigest(raw), len(raw))
+        return got
+
+
+_words = _Words()
+
+
+class Block:
+    """The documents of a block, each as its words and an end sign: for each predicted sign the sequences of 1 .. ORDER signs up to it, as hashes."""
+
+    def __init__(self, texts: list[str]):
+        found = [[_words[w] for w in TOKEN.findall(t)] for t in texts]
+        self.lens = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        total = int(self.lens.sum())
+        flat = np.fromiter((x for doc in found for x in (*doc, (int(END), 0))), np.dtype("u8,i8"), total)
+        word, self.size = flat["f0"], flat["f1"]
+        self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
+        before = np.concatenate([[BEGIN], word[:-1]]).astype(np.uint64)
+        before[self.starts] = BEGIN
+        earlier = np.concatenate([[BEGIN], before[:-1]]).astype(np.uint64)
+        earlier[self.starts] = BEGIN
+        pair = mix(before, word)
+        self.grams = np.stack([mix(np.uint64(1), word), mix(np.uint64(2), pair), mix(mix(np.uint64(3), earlier), pair)]) if total else np.zeros((ORDER, 0), np.uint64)
+
+
+def decoded(blob: bytes) -> list[str]:
+    return [t.decode() for t in zstandard.decompress(blob).split(b"\xff")]  # a byte that UTF-8 never has
+
+
+def cut(batches):
+    """Rows (id, text) gathered to blocks (ids, blob, n_bytes, docs, words)."""
+    ids, texts, size = [], [], 0
+
+    def block():
+        raw = [t.encode() for t in texts]
+        words = sum(1 for t in texts for _ in TOKEN.finditer(t)) + len(texts)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns = [one(pa.concat_arrays(ids)), pa.array([zstandard.compress(b"\xff".join(raw), 3)], pa.binary()), one(pa.array(list(map(len, raw)), pa.int64())), pa.array([len(texts)], pa.int64()), pa.array([words], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["ids", "blob", "n_bytes", "docs", "words"])
 
     for batch in batches:
-        data, at = framed(batch.column(0))
-        for lo in range(0, len(at) - 1, 2000):
-            hi = min(lo + 2000, len(at) - 1)
-            codes, n = np.unique(grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), return_counts=True)
-            held.append((codes, n.astype(np.int64)))
-            size += len(codes)
-            if size > 4_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["code", "n"])
-                    held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["code", "n"])
-
-
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n): how often each sequence of ORDER bytes occurs in all framed documents."""
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_count_batches, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def smoothed(counts: DataFrame, shelf: Shelf) -> list[DataFrame]:
-    """(code, logp, back) for the sequences of each length 1 .. ORDER: interpolated Witten-Bell probabilities.
-
-    p(c | h) = (n(hc) + t(h) p(c | h')) / (n(h) + t(h)) with t(h) distinct bytes after h, h' without h's first byte, and a uniform
-    distribution over 256 bytes below the first order. ``back`` is the log weight t / (n + t) with which a state that has this
-    sequence as its context fails to the next shorter one; null where it is no context.
-    """
-    levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        shorter = levels[0].groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        levels.insert(0, shelf.put(shorter))
-    out: list[DataFrame] = []
-    lower = None
-    for k, level in enumerate(levels, 1):
-        own = Window.partitionBy("h")
-        rows = level.withColumn("h", F.shiftright("code", 8)).withColumn("hn", F.sum("n").over(own).cast("double")).withColumn("ht", F.count("*").over(own).cast("double"))
-        if lower is None:
-            below = rows.withColumn("q", F.lit(1.0 / 256))
-        else:
-            low = lower.select(F.col("code").alias("low"), F.exp("logp").alias("q"))
-            below = rows.withColumn("low", F.col("code").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(low, "low")
-        here = below.select("code", "h", F.log((F.col("n") + F.col("ht") * F.col("q")) / (F.col("hn") + F.col("ht"))).alias("logp"), F.log(F.col("ht") / (F.col("hn") + F.col("ht"))).alias("leave"))
-        lower = shelf.put(here)
-        out.append(lower)
-    return out
-
-
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        begin = 0
+        for i, t in enumerate(batch.column(1).to_pylist()):
+            texts.append(t or "")
+            size += len(texts[-1]) + 1
+            if size >= BLOCK_CHARS:
+                ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                yield block()
+                ids, texts, size, begin = [], [], 0, i + 1
+        if begin < batch.num_rows:
+            ids.append(batch.column(0).slice(begin))
+    if texts:
+        yield block()
+
+
+def blocks_of(shelf: Shelf, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    made = read.mapInArrow(cut, f"ids array<{kind}>, blob binary, n_bytes array<bigint>, docs bigint, words bigint")
+    return shelf.put(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+def buckets_of(grams: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of ``bits`` bits, their counts, and where each one's bucket begins; hashes of one bucket follow each other."""
+    codes, n = np.unique(grams.ravel() >> np.uint64(64 - bits), return_counts=True)
+    return codes, n, bucket_of(codes, bits, buckets)
+
+
+def bucket_of(codes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    return (((codes << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def spans(bucket: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def sent_grams(bits: int, buckets: int, counts: bool):
+    """A function from blocks to rows (bucket, block, codes, times), one for each bucket that a block has sequences of. Blocks that don't count ask only."""
+
+    def run(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes, n, bucket = buckets_of(Block(decoded(blob)).grams, bits, buckets)
+                parts = spans(bucket)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[a]) for a, _ in parts], pa.int64()),
+                        pa.array([block] * len(parts), pa.int64()),
+                        pa.array([squeeze(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+                        pa.array([squeeze(n[a:b] * counts) for a, b in parts], pa.binary()),
+                    ],
+                    names=["bucket", "block", "codes", "times"],
+                )
+
+    return run
+
+
+def answered(table: pa.Table) -> pa.Table:
+    """Of one bucket, for each block the places in its list of those sequences that others have too, and their counts over all."""
+    block, codes, times, asks = (table.column(c).to_pylist() for c in ("block", "codes", "times", "asks"))
+    lists = [np.cumsum(unsqueeze(c), dtype=np.uint64) for c in codes]
+    n = np.concatenate([unsqueeze(t) for t in times]).astype(np.int64)
+    lens = np.array(list(map(len, lists)))
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    code = np.concatenate(lists)
+    order = np.argsort(code)
+    first = np.concatenate([[True], code[order][1:] != code[order][:-1]])
+    sums = np.add.reduceat(n[order], np.flatnonzero(first))
+    total = np.empty(len(code), np.int64)
+    total[order] = sums[np.cumsum(first) - 1]
+    rows = []
+    for k, asking in enumerate(asks):
+        a, b = begin[k], begin[k + 1]
+        at = np.flatnonzero(total[a:b] > n[a:b])
+        if asking and len(at):
+            rows.append((block[k], squeeze(np.diff(at, prepend=0)), squeeze(total[a:b][at])))
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "at": pa.array([r[1] for r in rows], pa.binary()), "total": pa.array([r[2] for r in rows], pa.binary())})
 
 
 class Automaton:
-    """States are the contexts that were seen, of 0 .. ORDER - 1 bytes; each has an arc for every byte seen after it, and a failure arc.
+    """The part of the model that a block's documents can reach, with each document's own counts left out.
 
-    An arc (state, byte) carries a log probability and leads to the longest state that ends the bytes read; the failure arc carries the log weight
-    of backing off and leads to the context without its first byte. Arcs lie in one open-addressed table.
+    States are contexts of 0 .. ORDER - 1 signs that others have; an arc reads a sign that others have after the context, carries its smoothed log probability, and
+    leads to the longest state that ends the signs read. A failure arc carries the log weight of backing off and leads to the context without its
+    first sign; below the empty context a sign is spelt, its bytes and a stop all alike likely. At a place of a text the contexts are known, so arc and
+    failure weights lie by (length of the context, place), and a state is the length of its context.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        contexts, weights = [], []
-        for code, _, leave in levels:
-            ctx, first = np.unique(code >> 8, return_index=True)
-            contexts.append(ctx)
-            weights.append(leave[first])
-        base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-        self.weight = np.concatenate(weights)
-        self.fail = np.zeros(base[-1], np.int64)
-        keys, logs, nexts = [], [], []
-        for m, ctx in enumerate(contexts):
-            if m:
-                self.fail[base[m] : base[m + 1]] = base[m - 1] + np.searchsorted(contexts[m - 1], ctx & ((1 << (8 * (m - 1))) - 1))
-            code, logp, _ = levels[m]
-            keys.append((base[m] + np.searchsorted(ctx, code >> 8)) << 8 | (code & 255))
-            logs.append(logp)
-            # the bytes read that can be a context; one that a text ends with has no state of its own and leads to the root
-            n = min(m + 1, len(levels) - 1)
-            tail = code & ((1 << (8 * n)) - 1)
-            at = np.minimum(np.searchsorted(contexts[n], tail), max(0, len(contexts[n]) - 1))
-            nexts.append(np.where(contexts[n][at] == tail, base[n] + at, 0) if len(contexts[n]) else np.zeros(len(code), np.int64))
-        self.logp, self.next = np.concatenate(logs), np.concatenate(nexts)
-        keys = np.concatenate(keys)
-        self.bits = max(4, math.ceil(math.log2(2 * len(keys) + 1)))
-        self.key, self.arc = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
-        todo, slot = np.arange(len(keys)), _slot(keys, self.bits)
-        while len(todo):
-            free = self.key[slot] < 0
-            self.key[slot[free]] = keys[todo[free]]  # of several, the last one gets the slot
-            won = self.key[slot] == keys[todo]
-            self.arc[slot[won]] = todo[won]
-            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-        begin = contexts[-1]
-        self.start = int(base[-2]) if len(begin) and begin[0] == 0 else 0
-
-    def step(self, state: np.ndarray, byte: np.ndarray, acc: np.ndarray) -> np.ndarray:
-        """The states after one byte each; log probabilities and failure weights are added to acc."""
-        out = np.zeros(len(state), np.int64)
-        at, now = np.arange(len(state)), state
-        while len(at):
-            key = now << 8 | byte[at]
-            slot = _slot(key, self.bits)
-            got = self.key[slot]
-            look = np.flatnonzero((got != key) & (got >= 0))
-            while len(look):
-                slot[look] = (slot[look] + 1) & ((1 << self.bits) - 1)
-                got[look] = self.key[slot[look]]
-                look = look[(got[look] != key[look]) & (got[look] >= 0)]
-            hit = got == key
-            arc = self.arc[slot[hit]]
-            acc[at[hit]] += self.logp[arc]
-            out[at[hit]] = self.next[arc]
-            at, now = at[~hit], now[~hit]
-            if len(at):
-                acc[at] += self.weight[now] if len(self.weight) else 0.0
-                lost = now == 0
-                acc[at[lost]] += math.log(1.0 / 256)
-                at, now = at[~lost], self.fail[now[~lost]]
-        return out
-
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of each framed document. Long ones are read in several runs side by side: a run's first state follows from the ORDER - 1 bytes before it."""
-        begin, lens = at[:-1] + ORDER - 1, np.diff(at) - (ORDER - 1)
+    def __init__(self, block: Block, total: np.ndarray, own: np.ndarray, others: np.ndarray, rest: np.ndarray, mu: float):
+        """total, own: counts of each place's sequences over all and in its document; others, rest: the other documents and their signs."""
+        c = np.maximum(total - own, 0).astype(np.float64)
+        self.block, self.has = block, c > 0
+        owner = np.repeat(np.arange(len(block.lens)), block.lens)
+        spelt = np.ldexp(1.0, np.maximum(-8 * (block.size + 1), -1100).astype(np.int32))
+        n = rest[owner].astype(np.float64)
+        p = spelt
+        self.arc, self.fail = np.zeros(c.shape), np.zeros(c.shape)
+        with np.errstate(divide="ignore"):
+            for k in range(ORDER):
+                p = (c[k] + mu * p) / (n + mu)
+                self.arc[k], self.fail[k] = np.log(p), np.log(mu / (n + mu))
+                n = np.concatenate([[0.0], c[k][:-1]])
+                n[block.starts] = others
+        self.spell = -(block.size + 1) * math.log(256.0)
+        self.start = np.where(others > 0, ORDER - 1, 0)
+
+    def score(self) -> np.ndarray:
+        """Log probability of each document, read once from left to right; long ones in several runs side by side, as the state before a place follows from what was found there."""
+        lens, starts = self.block.lens, self.block.starts
         runs = -(-lens // RUN)
         owner = np.repeat(np.arange(len(lens)), runs)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-        pos = begin[owner] + nth * RUN
-        size = np.minimum(RUN, lens[owner] - nth * RUN)
+        pos, size = starts[owner] + nth * RUN, np.minimum(RUN, lens[owner] - nth * RUN)
         order = np.argsort(-size, kind="stable")
         pos, size, owner, nth = pos[order], size[order], owner[order], nth[order]
-        acc, state = np.zeros(len(pos)), np.full(len(pos), self.start, np.int64)
-        later = np.flatnonzero(nth > 0)
-        warm, unused = np.zeros(len(later), np.int64), np.zeros(len(later))
-        for t in range(ORDER - 1, 0, -1):
-            warm = self.step(warm, data[pos[later] - t].astype(np.int64), unused)
-        state[later] = warm
+        state, acc = self.start[owner], np.zeros(len(pos))
+        later = np.flatnonzero(nth)
+        state[later] = np.minimum(self.has[:, pos[later] - 1].sum(axis=0), ORDER - 1)
         for t in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -t, side="left"))
-            state = self.step(state[:n], data[pos[:n] + t].astype(np.int64), acc[:n])
+            state = self.step(state[:n], pos[:n] + t, acc)
         return np.bincount(owner, acc, len(lens))
 
+    def step(self, state: np.ndarray, place: np.ndarray, acc: np.ndarray) -> np.ndarray:
+        """The states after the signs at ``place``; arcs' and failure arcs' weights are added to acc."""
+        out, at = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(at):
+            here = place[at]
+            hit = self.has[state, here]
+            acc[at] += np.where(hit, self.arc[state, here], self.fail[state, here])
+            out[at[hit]] = np.minimum(state[hit] + 1, ORDER - 1)
+            at, state = at[~hit], state[~hit] - 1
+            lost = state < 0
+            acc[at[lost]] += self.spell[place[at[lost]]]
+            at, state = at[~lost], state[~lost]
+        return out
 
-_loaded: dict[str, Automaton] = {}
-
-
-def _load(paths: list[str]) -> Automaton:
-    """The automaton of the written levels, read from the shared folder once a worker process."""
-    if paths[0] not in _loaded:
-        levels = []
-        for path in paths:
-            if urlparse(path).scheme:
-                fs, inner = pafs.FileSystem.from_uri(path)
-            else:
-                fs, inner = pafs.LocalFileSystem(), path
-            t = ds.dataset(inner, format="parquet", filesystem=fs, schema=pa.schema([("code", pa.int64()), ("h", pa.int64()), ("logp", pa.float64()), ("leave", pa.float64())])).to_table(columns=["code", "logp", "leave"])
-            levels.append(tuple(t.column(c).to_numpy() for c in ("code", "logp", "leave")))
-        _loaded.clear()
-        _loaded[paths[0]] = Automaton(levels)
-    return _loaded[paths[0]]
 
+def lm_score(docs: DataFrame, corpus: DataFrame | None = None, mu: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, log_prob, bits_per_byte) of every document under a model of all documents of corpus, or else of all other rows of docs.
 
-def lm_score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, log_prob, bits_per_byte) of every document under a model of all documents of corpus (docs by default).
+    Sequences of up to three words, two begin signs before and an end sign after each document, are counted over the whole corpus. A document of docs is scored with its own counts left out, so what only it has is
+    unseen and failure arcs are taken. Smoothing is by a Dirichlet prior: p(w | h) = (n(hw) + mu p(w | h')) / (n(h) + mu), h' without
+    h's first word; below the empty context a word is its bytes and a stop, each 1/256. log_prob is natural, the end sign included; bits_per_byte divides by bytes + 1.
 
-    Sequences of up to five bytes are counted over all documents, partly in each task and then by one exchange, and smoothed by
-    joins level by level (interpolated Witten-Bell), all distributed. The levels are written to the shared folder, from where
-    each worker loads them: contexts become states with a failure arc to the next shorter one. A document is read once, left
-    to right, from the state of ORDER - 1 begin bytes; a byte without an arc pays the failure arcs' weights down to the
-    first state that has one. The documents of a batch advance together, a byte a step, each with its state. log_prob is natural
-    and includes the end sign; bits_per_byte divides by bytes + 1.
+    No task holds the model: documents are cut into blocks, written once to the shared folder, and each block sends its distinct sequences, as hashes sorted by bucket,
+    to the bucket's task. This merges them and answers each block with the counts of those that others have too. A block's task makes the part
+    of the automaton that its documents can reach and reads each of them once, from left to right. All exchanges are in proportion to the corpus.
+    Where there are far more buckets than a block has sequences, a row holds one sequence: then it's an ordinary exchange of hashes.
 
-    The automaton in a worker grows with the distinct sequences of five bytes, far slower than the corpus (0.4 million for
-    0.17 GB of text here); nothing goes through the driver. Defined cases: null and empty texts have 0 bytes and the end
-    sign's probability; a null identifier is scored like others; repeated rows score alike; no rows - no rows.
+    Defined cases: null and empty texts have 0 bytes and the end sign's probability; a null identifier is scored like others; repeated rows are documents each, so each
+    is seen in the other; a text without words is the end sign alone; an empty corpus leaves spelling alone; no rows - no rows.
     """
     shelf = Shelf(docs.sparkSession, "lm")
-    levels = smoothed(shelf.put(count_grams(docs if corpus is None else corpus, text_col)), shelf)
-    paths = [x.shelf_path for x in levels]
-    kind = dict(docs.dtypes)[id_col]
-    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    asking = blocks_of(shelf, docs, id_col, text_col)
+    counted = asking if corpus is None else blocks_of(shelf, corpus, corpus.columns[0] if id_col not in corpus.columns else id_col, text_col)
+    n_docs, n_words = (x or 0 for x in counted.agg(F.sum("docs"), F.sum("words")).first())
+    bits = min(64, int(n_words).bit_length() + SPARE_BITS)
+    buckets = 1 + int(n_words) // BUCKET_WORDS
+    grams = "bucket bigint, block bigint, codes binary, times binary"
+    send = lambda blocks, counts: blocks.select("block", "blob").mapInArrow(sent_grams(bits, buckets, counts), grams)
+    sent = send(asking, corpus is None).withColumn("asks", F.lit(True))
+    if corpus is not None:
+        sent = sent.unionByName(send(counted, True).withColumn("asks", F.lit(False)))
+    answers = sent.groupBy("bucket").applyInArrow(answered, "block bigint, bucket bigint, at binary, total binary")
+    held = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "total")).alias("answers"))
+    joined = asking.join(held, "block", "left").select("ids", "blob", "n_bytes", "answers")
+    leave_out = corpus is None
 
     def run(batches):
-        model = None
         for batch in batches:
-            model = model or _load(paths)
-            data, at = framed(batch.column(1))
-            total, lens = model.score(data, at), np.diff(at) - (ORDER - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens - 1), pa.array(total), pa.array(-total / math.log(2) / lens)], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
-
-    return read.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, log_prob double, bits_per_byte double")
+            for ids, blob, n_bytes, answers in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                block = Block(decoded(blob))
+                codes, inverse, n = np.unique(block.grams >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+                inverse = inverse.reshape(block.grams.shape)
+                total = n * leave_out
+                bucket = bucket_of(codes, bits, buckets)
+                begin = {int(bucket[a]): a for a, _ in spans(bucket)}
+                for x in answers or ():
+                    total[begin[x["bucket"]] + np.cumsum(unsqueeze(x["at"]).astype(np.int64))] = unsqueeze(x["total"])
+                own = own_counts(block, inverse, n) if leave_out else np.zeros(inverse.shape, np.int64)
+                lens = block.lens
+                others = np.full(len(lens), n_docs - leave_out)
+                logs = Automaton(block, total[inverse], own, others, n_words - lens * leave_out, mu).score()
+                size = np.array(n_bytes)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(size, pa.int64()), pa.array(logs), pa.array(-logs / math.log(2) / (size + 1))], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, log_prob double, bits_per_byte double")
+
+
+def own_counts(block: Block, inverse: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each place's sequences occur in its own document. inverse: their numbers in the block, n: how often each occurs there."""
+    owner = np.broadcast_to(np.repeat(np.arange(len(block.lens), dtype=np.int64), block.lens), inverse.shape)
+    own = np.ones(inverse.shape, np.int64)
+    twice = n[inverse] > 1
+    _, back, times = np.unique(owner[twice] << 32 | inverse[twice], return_inverse=True, return_counts=True)
+    own[twice] = times[back]
+    return own

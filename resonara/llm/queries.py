@@ -55,7 +55,7 @@ def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, d: str) -> DataFrame:
-    return lm_score(table(spark, d, "documents")).withColumns({c: F.round(c, 6) for c in ("log_prob", "bits_per_byte")})
+    return lm_score(table(spark, d, "documents")).withColumns({"log_prob": F.round("log_prob", 4), "bits_per_byte": F.round("bits_per_byte", 6)})
 
 
 def op10_preferences(spark: SparkSession, d: str) -> DataFrame:

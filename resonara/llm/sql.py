@@ -61,22 +61,22 @@ SELECT conv_id, coalesce(prompt, '') AS prompt, CAST(n AS INTEGER) AS n_prompt_t
 FROM g JOIN m USING (conv_id) WHERE conv_id IN (SELECT conv_id FROM b)
 """
 
-#: Every sequence of a document is a seen one, so its probability is the smoothed one of five bytes, and no failure arc is taken.
-LM_SQL = """
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-     l AS (SELECT row, doc_id, unnest(list_concat(regexp_extract_all(h, '..'), ['FF'])) AS x, generate_subscripts(list_concat(regexp_extract_all(h, '..'), ['FF']), 1) AS pos FROM d),
-     b AS (SELECT row, doc_id, pos, ('0x' || x)::BIGINT AS x FROM l),
-     g AS (SELECT row, doc_id, lag(x, 4, 0) OVER w * 4294967296 + lag(x, 3, 0) OVER w * 16777216 + lag(x, 2, 0) OVER w * 65536 + lag(x, 1, 0) OVER w * 256 + x AS g FROM b WINDOW w AS (PARTITION BY row ORDER BY pos)),
-     c5 AS (SELECT g, count(*)::DOUBLE AS n FROM g GROUP BY 1),
-     c4 AS (SELECT g & 4294967295 AS g, sum(n) AS n FROM c5 GROUP BY 1), c3 AS (SELECT g & 16777215 AS g, sum(n) AS n FROM c4 GROUP BY 1),
-     c2 AS (SELECT g & 65535 AS g, sum(n) AS n FROM c3 GROUP BY 1), c1 AS (SELECT g & 255 AS g, sum(n) AS n FROM c2 GROUP BY 1),
-     p1 AS (SELECT g, (n + count(*) OVER () / 256.0::DOUBLE) / (sum(n) OVER () + count(*) OVER ()) AS p FROM c1),
-     p2 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c2 c JOIN p1 ON p1.g = (c.g & 255) WINDOW w AS (PARTITION BY c.g >> 8)),
-     p3 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c3 c JOIN p2 ON p2.g = (c.g & 65535) WINDOW w AS (PARTITION BY c.g >> 8)),
-     p4 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c4 c JOIN p3 ON p3.g = (c.g & 16777215) WINDOW w AS (PARTITION BY c.g >> 8)),
-     p5 AS (SELECT c.g, (n + count(*) OVER w * p) / (sum(n) OVER w + count(*) OVER w) AS p FROM c5 c JOIN p4 ON p4.g = (c.g & 4294967295) WINDOW w AS (PARTITION BY c.g >> 8)),
-     s AS (SELECT row, doc_id, count(*) - 1 AS n_bytes, sum(ln(p)) AS lp FROM g JOIN p5 USING (g) GROUP BY ALL)
-SELECT doc_id, n_bytes, round(lp, 6) AS log_prob, round(-lp / ln(2.0::DOUBLE) / (n_bytes + 1), 6) AS bits_per_byte FROM s
+#: Words in threes, each document with its own counts left out: a word's probability backs off to what the other rows have, and at last to its bytes.
+LM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+     l AS (SELECT row, list_concat(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\v]'), [NULL]) AS ws FROM d),
+     w AS (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM l),
+     t AS (SELECT row, pos, w, coalesce(strlen(w), 0) AS size, coalesce(w, '<end>') AS c, lag('w' || w, 1, '<begin>') OVER (PARTITION BY row ORDER BY pos) AS b, lag('w' || w, 2, '<begin>') OVER (PARTITION BY row ORDER BY pos) AS a FROM w),
+     n AS (SELECT row, pos, size,
+             count(*) OVER (PARTITION BY w IS NULL, c) - count(*) OVER (PARTITION BY row, w IS NULL, c) AS c1,
+             count(*) OVER (PARTITION BY w IS NULL, b, c) - count(*) OVER (PARTITION BY row, w IS NULL, b, c) AS c2,
+             count(*) OVER (PARTITION BY w IS NULL, a, b, c) - count(*) OVER (PARTITION BY row, w IS NULL, a, b, c) AS c3,
+             count(*) OVER () - count(*) OVER (PARTITION BY row) AS n0, (SELECT count(*) - 1 FROM d) AS others FROM t),
+     h AS (SELECT row, size, c1::DOUBLE AS c1, c2::DOUBLE AS c2, c3::DOUBLE AS c3, n0::DOUBLE AS n0, lag(c1, 1, others) OVER o::DOUBLE AS n1, lag(c2, 1, others) OVER o::DOUBLE AS n2 FROM n WINDOW o AS (PARTITION BY row ORDER BY pos)),
+     p AS (SELECT row, CASE WHEN c1 > 0 THEN ln((c3 + 4 * (c2 + 4 * (c1 + 4 * pow(2.0::DOUBLE, -8 * (size + 1))) / (n0 + 4)) / (n1 + 4)) / (n2 + 4))
+                            ELSE ln(4 / (n0 + 4)) + ln(4 / (n1 + 4)) + ln(4 / (n2 + 4)) - (size + 1) * ln(256.0::DOUBLE) END AS lp FROM h),
+     s AS (SELECT row, sum(lp) AS lp FROM p GROUP BY 1)
+SELECT doc_id, strlen(text) AS n_bytes, round(lp, 4) AS log_prob, round(-lp / ln(2.0::DOUBLE) / (strlen(text) + 1), 6) AS bits_per_byte FROM d JOIN s USING (row)
 """
 
 _SEGMENTS = [("h", 43, 21), ("h", 21, 22), ("h", 0, 21), ("l", 43, 21), ("l", 21, 22), ("l", 0, 21)]

@@ -1,60 +1,89 @@
 import math
 import random
-from collections import defaultdict
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from resonara.llm.lm import ORDER, lm_score
+from resonara.llm import lm
+from resonara.llm.lm import TOKEN, lm_score, squeeze, unsqueeze
 
+MU = 4.0
 
-def brute(train, texts):
-    """Interpolated Witten-Bell over dictionaries, one byte after another."""
-    n = defaultdict(lambda: defaultdict(int))
-    frame = lambda t: b"\0" * (ORDER - 1) + (t or "").encode() + b"\xff"
-    for t in train:
-        b = frame(t)
-        for i in range(ORDER - 1, len(b)):
-            for k in range(ORDER):
-                n[b[i - k : i]][b[i]] += 1
 
-    def p(h, c):
-        below = 1 / 256 if not h else p(h[1:], c)
-        if h not in n:
-            return below if h else 1 / 256
-        s = n[h]
-        if not h:
-            below = 1 / 256
-        return (s.get(c, 0) + len(s) * below) / (sum(s.values()) + len(s))
+def framed(text):
+    return [None, None, *TOKEN.findall(text or ""), "\n"]
 
+
+def grams(texts):
+    return Counter(tuple(w[i - k : i + 1]) for w in map(framed, texts) for i in range(2, len(w)) for k in range(3))
+
+
+def brute(corpus, texts, leave_out):
+    """Log probability of each text, by recursion over dictionaries of counts."""
+    whole = grams(corpus)
     out = []
     for t in texts:
-        b = frame(t)
-        out.append(sum(math.log(p(b[i - ORDER + 1 : i], b[i])) for i in range(ORDER - 1, len(b))))
+        n = whole - grams([t]) if leave_out else whole
+        docs, signs = len(corpus) - leave_out, sum(v for g, v in n.items() if len(g) == 1)
+        spell = lambda w: -8 * math.log(2) * (1 if w == "\n" else len(w.encode()) + 1)
+
+        def logp(h, w):
+            if not n[h + (w,)]:
+                weight = signs if not h else docs if h[-1] is None else n[h]
+                return math.log(MU / (weight + MU)) + (logp(h[1:], w) if h else spell(w))
+            below = math.exp(logp(h[1:], w)) if h else math.exp(spell(w))
+            return math.log((n[h + (w,)] + MU * below) / ((signs if not h else docs if h[-1] is None else n[h]) + MU))
+
+        w = framed(t)
+        out.append(sum(logp(tuple(w[i - 2 : i]), w[i]) for i in range(2, len(w))))
     return out
 
 
-def test_equals_brute_force(spark):
+def sample():
     rng = random.Random(7)
-    texts = ["".join(rng.choices("abcde é", k=rng.randint(0, 60))) for _ in range(60)] + ["", None, "日本 text", "abc" * 3000, "a\0b"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "abc"), (3, texts[3])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes", "2 as code").repartition(3)
+    words = ["the", "cat", "sat,", "é", "on.", "a", "mat!", "日本", "x1", "under_score"]
+    return [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60)] + ["", None, "  \n", "one off", "abc " * 3000, "z" * 5000, "the cat " * 1500]
+
+
+@pytest.mark.parametrize("words", [1_000_000, 200])
+def test_equals_brute_force_without_own_counts(spark, monkeypatch, words):
+    monkeypatch.setattr(lm, "BUCKET_WORDS", words)
+    texts = sample()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat"), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes", "2 as code", "3 as block").repartition(3)
     got = lm_score(df).collect()
     assert len(got) == len(rows)
-    want = dict(zip(range(len(texts)), brute([t for _, t in rows], texts)))
+    want = dict(zip((i for i, _ in rows), brute([t for _, t in rows], [t for _, t in rows], True)))
     for r in got:
-        if r.doc_id is not None:
-            t = (texts[r.doc_id] or "").encode()
-            assert r.n_bytes == len(t)
-            assert r.log_prob == pytest.approx(want[r.doc_id], rel=1e-9)
-            assert r.bits_per_byte == pytest.approx(-want[r.doc_id] / math.log(2) / (len(t) + 1), rel=1e-9)
+        size = len((texts[r.doc_id] if r.doc_id is not None else "the cat") or "") and len((texts[r.doc_id] if r.doc_id is not None else "the cat").encode())
+        assert r.n_bytes == size
+        assert r.log_prob == pytest.approx(want[r.doc_id], rel=1e-9)
+        assert r.bits_per_byte == pytest.approx(-want[r.doc_id] / math.log(2) / (size + 1), rel=1e-9)
 
 
-def test_unseen_texts_under_another_corpus(spark):
-    corpus = spark.createDataFrame([(1, "the cat sat"), (2, "the hat sat")], "doc_id long, text string")
-    texts = ["the cat sat", "zzzz", "qé日", "that", ""]
+def test_texts_under_another_corpus(spark):
+    texts = sample()
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:30])], "doc_id long, text string").repartition(2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.log_prob for r in lm_score(docs, corpus).collect()}
-    for i, w in enumerate(brute(["the cat sat", "the hat sat"], texts)):
+    for i, w in enumerate(brute(texts[:30], texts, False)):
         assert got[i] == pytest.approx(w, rel=1e-9)
     assert lm_score(docs.limit(0), corpus).count() == 0
-    assert lm_score(docs, corpus.limit(0)).where("doc_id = 1").first().log_prob == pytest.approx(5 * math.log(1 / 256))
+    assert lm_score(docs, corpus.limit(0)).where("doc_id = 63").first().log_prob == pytest.approx(9 * math.log(1 / 256))
+
+
+def test_copies_and_single_rows(spark):
+    one = spark.createDataFrame([(1, "never seen before")], "doc_id long, text string")
+    assert lm_score(one).first().log_prob == pytest.approx((6 + 5 + 7 + 1) * math.log(1 / 256))
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (2, text), (3, " ".join(f"v{i}" for i in range(50)))]
+    bits = {r.doc_id: r.bits_per_byte for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert bits[1] == bits[2] < bits[3] / 2
+    strings = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    assert {r.doc_id for r in lm_score(strings).collect()} == {"a", "b"}
+
+
+def test_squeezed_numbers_come_back():
+    for x in ([], [0], [1, 2**64 - 1, 7], list(range(1000))):
+        assert unsqueeze(squeeze(np.array(x, np.uint64))).tolist() == x
