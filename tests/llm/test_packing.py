@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from resonara.llm.common import Shelf
 from resonara.llm.packing import pack, pack_tokens, sweep
 from resonara.llm.queries import op2_pack
 from resonara.llm.tokens import RANKS, encoding
@@ -71,13 +72,26 @@ def test_sweep_gives_each_document_the_least_free_gap(spark):
     rng = random.Random(4)
     gaps = [(1000 + i, rng.randint(1, 60)) for i in range(80)]
     items = [(i, rng.randint(31, 60)) for i in range(120)]
-    got = {r.item: r.bin for r in sweep(spark.createDataFrame(items, "item long, size long"), spark.createDataFrame(gaps, "bin long, gap long"), 60, C, 1, 0).collect()}
     free, want = sorted(g for _, g in gaps), []
     for _, s in sorted(items, key=lambda x: -x[1]):
         k = bisect.bisect_left(free, s)
         want.append((s, free.pop(k) if k < len(free) else None))
-    gap = dict(gaps)
-    assert sorted((s, gap.get(got[i]) or 0) for i, s in items) == sorted((s, g or 0) for s, g in want)
+    gap, each = dict(gaps), []
+    for parts in (1, 2, 5, 40):
+        rows = sweep(spark.createDataFrame(items, "item long, size long"), spark.createDataFrame(gaps, "bin long, gap long"), 60, C, parts, Shelf(spark, "t")).collect()
+        got = {r.item: r.bin for r in rows}
+        assert len(rows) == len(items) and sorted((s, gap.get(got[i]) or 0) for i, s in items) == sorted((s, g or 0) for s, g in want)
+        assert all(got[i] == i for i, _ in items if got[i] is not None and got[i] not in gap)
+        each.append(got)
+    assert all(got == each[0] for got in each)
+
+
+def test_one_packing_for_any_number_of_partitions(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.randrange(300), str(min(3 * C, int(rng.expovariate(0.03)) + 1))) for _ in range(700)], "doc_id long, text string")
+    number = lambda t: F.coalesce(t.cast("bigint"), F.lit(0))
+    got = [Counter(map(tuple, pack(df.repartition(n), C, length=number, part_rows=rows).collect())) for n, rows in ((1, 50_000), (6, 40))]
+    assert got[0] == got[1]
 
 
 def test_registered_uses_pack_real_tokens(spark):
