@@ -9,20 +9,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
-
 #: A word is a run of letters, digits and underscores; any other character but these blanks is a word of its own.
 TOKEN = re.compile(r"\w+|[^\w \t\n\r\f\v]")
 ORDER = 3
 #: Characters of a block of documents, about; a longer document is a block of its own.
 BLOCK_CHARS = 4_000_000
-#: Words of the corpus that one task merges the sequences of, about.
-BUCKET_WORDS = 1_000_000
-#: A hash has so many bits more than the number of the corpus's words has, 64 at most: the chance that a sequence meets a wrong one is the same at every size.
-SPARE_BITS = 26
+#: Characters of the corpus that one task merges the sequences of, about.
+BUCKET_CHARS = 4_000_000
+#: A hash has so many bits more than the number of the corpus's characters has, 64 at most: the chance that a sequence meets a wrong one is the same at every size.
+SPARE_BITS = 24
 #: Words that one run reads.
 RUN = 1024
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A99)
@@ -47,36 +46,41 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-class _Words(dict):
-    """Hash and length in bytes of words, kept from text to text."""
-
-    def __missing__(self, w: str) -> tuple[int, int]:
-        if len(self) > 500_000:
-            self.clear()
-        raw = w.encode()
-        self[w] = got = (xxhash.xxh3_64_intdigest(raw), len(raw))
-        return got
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first met."""
 
-
-_words = _Words()
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self)
+        return n
 
 
 class Block:
-    """The documents of a block, each as its words and an end sign: for each predicted sign the sequences of 1 .. ORDER signs up to it, as hashes."""
+    """The documents of a block, each as its words and an end sign.
+
+    size: bytes of each sign; grams: for each sign the sequences of 1 .. ORDER signs up to it, as hashes. The empty sequence has the hash 0.
+    """
 
     def __init__(self, texts: list[str]):
-        found = [[_words[w] for w in TOKEN.findall(t)] for t in texts]
+        numbers = _Numbers({"": 0})  # the end sign
+        found = [np.fromiter(map(numbers.__getitem__, TOKEN.findall(t)), np.int32) for t in texts]
+        raw = [w.encode() for w in numbers]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        sizes = np.fromiter(map(len, raw), np.int32, len(raw))
         self.lens = np.fromiter(map(len, found), np.int64, len(found)) + 1
-        total = int(self.lens.sum())
-        flat = np.fromiter((x for doc in found for x in (*doc, (int(END), 0))), np.dtype("u8,i8"), total)
-        word, self.size = flat["f0"], flat["f1"]
-        self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
+        ends = np.cumsum(self.lens) - 1
+        self.starts = ends + 1 - self.lens
+        flat = np.zeros(int(self.lens.sum()), np.int32)
+        inner = np.ones(len(flat), bool)
+        inner[ends] = False
+        flat[inner] = np.concatenate([*found, np.zeros(0, np.int32)])
+        word, self.size = hashes[flat], sizes[flat]
+        word[ends] = END
         before = np.concatenate([[BEGIN], word[:-1]]).astype(np.uint64)
         before[self.starts] = BEGIN
         earlier = np.concatenate([[BEGIN], before[:-1]]).astype(np.uint64)
         earlier[self.starts] = BEGIN
         pair = mix(before, word)
-        self.grams = np.stack([mix(np.uint64(1), word), mix(np.uint64(2), pair), mix(mix(np.uint64(3), earlier), pair)]) if total else np.zeros((ORDER, 0), np.uint64)
+        self.grams = np.stack([mix(np.uint64(1), word), mix(np.uint64(2), pair), mix(mix(np.uint64(3), earlier), pair)])
 
 
 def decoded(blob: bytes) -> list[str]:
@@ -84,15 +88,16 @@ def decoded(blob: bytes) -> list[str]:
 
 
 def cut(batches):
-    """Rows (id, text) gathered to blocks (ids, blob, n_bytes, docs, words)."""
-    ids, texts, size = [], [], 0
+    """Rows (id, text) gathered to blocks (block, ids, blob, n_bytes). A block's key is its place and a hash of its texts."""
+    ids, texts, size, context = [], [], 0, TaskContext.get()
+    part, n = context.partitionId() if context else 0, 0
 
     def block():
         raw = [t.encode() for t in texts]
-        words = sum(1 for t in texts for _ in TOKEN.finditer(t)) + len(texts)
+        whole = b"\xff".join(raw)
+        key = xxhash.xxh3_64_intdigest(b"%d %d " % (part, n) + whole) >> 1
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [one(pa.concat_arrays(ids)), pa.array([zstandard.compress(b"\xff".join(raw), 3)], pa.binary()), one(pa.array(list(map(len, raw)), pa.int64())), pa.array([len(texts)], pa.int64()), pa.array([words], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["ids", "blob", "n_bytes", "docs", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), one(pa.concat_arrays(ids)), pa.array([zstandard.compress(whole, 3)], pa.binary()), one(pa.array(list(map(len, raw)), pa.int64()))], names=["block", "ids", "blob", "n_bytes"])
 
     for batch in batches:
         begin = 0
@@ -102,24 +107,24 @@ def cut(batches):
             if size >= BLOCK_CHARS:
                 ids.append(batch.column(0).slice(begin, i + 1 - begin))
                 yield block()
-                ids, texts, size, begin = [], [], 0, i + 1
+                ids, texts, size, begin, n = [], [], 0, i + 1, n + 1
         if begin < batch.num_rows:
             ids.append(batch.column(0).slice(begin))
     if texts:
         yield block()
 
 
-def blocks_of(shelf: Shelf, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    made = read.mapInArrow(cut, f"ids array<{kind}>, blob binary, n_bytes array<bigint>, docs bigint, words bigint")
-    return shelf.put(made.withColumn("block", F.monotonically_increasing_id()))
+    return read.mapInArrow(cut, f"block bigint, ids array<{kind}>, blob binary, n_bytes array<bigint>")
 
 
-def buckets_of(grams: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of ``bits`` bits, their counts, and where each one's bucket begins; hashes of one bucket follow each other."""
-    codes, n = np.unique(grams.ravel() >> np.uint64(64 - bits), return_counts=True)
-    return codes, n, bucket_of(codes, bits, buckets)
+def listed(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of ``bits`` bits of all sequences of a block, the empty one first, their counts, and each place's three numbers in this list."""
+    codes, inverse, n = np.unique(block.grams.ravel() >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    inverse = inverse.reshape(block.grams.shape).astype(np.int32)
+    return np.concatenate([[np.uint64(0)], codes]), np.concatenate([[int(block.lens.sum())], n]), inverse + np.int32(1)
 
 
 def bucket_of(codes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -137,7 +142,10 @@ def sent_grams(bits: int, buckets: int, counts: bool):
     def run(batches):
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, n, bucket = buckets_of(Block(decoded(blob)).grams, bits, buckets)
+                made = Block(decoded(blob))
+                codes, n = np.unique(made.grams.ravel() >> np.uint64(64 - bits), return_counts=True)
+                codes, n = np.concatenate([[np.uint64(0)], codes]), np.concatenate([[int(made.lens.sum())], n])
+                bucket = bucket_of(codes, bits, buckets)
                 parts = spans(bucket)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -168,7 +176,7 @@ def answered(table: pa.Table) -> pa.Table:
     rows = []
     for k, asking in enumerate(asks):
         a, b = begin[k], begin[k + 1]
-        at = np.flatnonzero(total[a:b] > n[a:b])
+        at = np.flatnonzero((total[a:b] > n[a:b]) | (code[a:b] == 0))  # each block is told about the empty sequence
         if asking and len(at):
             rows.append((block[k], squeeze(np.diff(at, prepend=0)), squeeze(total[a:b][at])))
     bucket = table.column("bucket")[0].as_py()
@@ -184,23 +192,21 @@ class Automaton:
     failure weights lie by (length of the context, place), and a state is the length of its context.
     """
 
-    def __init__(self, block: Block, total: np.ndarray, own: np.ndarray, others: np.ndarray, rest: np.ndarray, mu: float):
-        """total, own: counts of each place's sequences over all and in its document; others, rest: the other documents and their signs."""
-        c = np.maximum(total - own, 0).astype(np.float64)
-        self.block, self.has = block, c > 0
-        owner = np.repeat(np.arange(len(block.lens)), block.lens)
-        spelt = np.ldexp(1.0, np.maximum(-8 * (block.size + 1), -1100).astype(np.int32))
-        n = rest[owner].astype(np.float64)
-        p = spelt
-        self.arc, self.fail = np.zeros(c.shape), np.zeros(c.shape)
+    def __init__(self, block: Block, counts: list[np.ndarray], others: int, rest: np.ndarray, mu: float):
+        """counts: by length, how often others have the sequences up to each place; others: the number of other documents; rest: the number of their signs, by document."""
+        self.block, self.has = block, np.stack([c > 0 for c in counts])
+        p = np.ldexp(1.0, np.maximum(-8 * (block.size + 1), -1100))
+        n = np.repeat(rest, block.lens).astype(np.float64)
+        self.arc, self.fail = np.empty(self.has.shape), np.empty(self.has.shape)
         with np.errstate(divide="ignore"):
-            for k in range(ORDER):
-                p = (c[k] + mu * p) / (n + mu)
-                self.arc[k], self.fail[k] = np.log(p), np.log(mu / (n + mu))
-                n = np.concatenate([[0.0], c[k][:-1]])
+            for k, c in enumerate(counts):
+                p = (c + mu * p) / (n + mu)
+                np.log(p, out=self.arc[k])
+                np.log(mu / (n + mu), out=self.fail[k])
+                n[1:] = c[:-1]
                 n[block.starts] = others
         self.spell = -(block.size + 1) * math.log(256.0)
-        self.start = np.where(others > 0, ORDER - 1, 0)
+        self.start = ORDER - 1 if others > 0 else 0
 
     def score(self) -> np.ndarray:
         """Log probability of each document, read once from left to right; long ones in several runs side by side, as the state before a place follows from what was found there."""
@@ -211,7 +217,7 @@ class Automaton:
         pos, size = starts[owner] + nth * RUN, np.minimum(RUN, lens[owner] - nth * RUN)
         order = np.argsort(-size, kind="stable")
         pos, size, owner, nth = pos[order], size[order], owner[order], nth[order]
-        state, acc = self.start[owner], np.zeros(len(pos))
+        state, acc = np.full(len(pos), self.start), np.zeros(len(pos))
         later = np.flatnonzero(nth)
         state[later] = np.minimum(self.has[:, pos[later] - 1].sum(axis=0), ORDER - 1)
         for t in range(int(size[0]) if len(size) else 0):
@@ -241,45 +247,45 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, mu: float = 4.0,
     unseen and failure arcs are taken. Smoothing is by a Dirichlet prior: p(w | h) = (n(hw) + mu p(w | h')) / (n(h) + mu), h' without
     h's first word; below the empty context a word is its bytes and a stop, each 1/256. log_prob is natural, the end sign included; bits_per_byte divides by bytes + 1.
 
-    No task holds the model: documents are cut into blocks, written once to the shared folder, and each block sends its distinct sequences, as hashes sorted by bucket,
+    No task holds the model: documents are gathered to blocks, and each block sends its distinct sequences, as hashes sorted by bucket,
     to the bucket's task. This merges them and answers each block with the counts of those that others have too. A block's task makes the part
     of the automaton that its documents can reach and reads each of them once, from left to right. All exchanges are in proportion to the corpus.
     Where there are far more buckets than a block has sequences, a row holds one sequence: then it's an ordinary exchange of hashes.
+    docs is read twice and must give the same partitions then, as files and written tables do; if not, an error says so.
 
     Defined cases: null and empty texts have 0 bytes and the end sign's probability; a null identifier is scored like others; repeated rows are documents each, so each
     is seen in the other; a text without words is the end sign alone; an empty corpus leaves spelling alone; no rows - no rows.
     """
-    shelf = Shelf(docs.sparkSession, "lm")
-    asking = blocks_of(shelf, docs, id_col, text_col)
-    counted = asking if corpus is None else blocks_of(shelf, corpus, corpus.columns[0] if id_col not in corpus.columns else id_col, text_col)
-    n_docs, n_words = (x or 0 for x in counted.agg(F.sum("docs"), F.sum("words")).first())
-    bits = min(64, int(n_words).bit_length() + SPARE_BITS)
-    buckets = 1 + int(n_words) // BUCKET_WORDS
+    leave_out = corpus is None
+    source = docs if leave_out else corpus
+    n_docs, chars = source.agg(F.count("*"), F.coalesce(F.sum(F.length(f"`{text_col}`")), F.lit(0))).first()
+    bits = min(64, int(n_docs + chars).bit_length() + SPARE_BITS)
+    buckets = 1 + int(chars) // BUCKET_CHARS
     grams = "bucket bigint, block bigint, codes binary, times binary"
     send = lambda blocks, counts: blocks.select("block", "blob").mapInArrow(sent_grams(bits, buckets, counts), grams)
-    sent = send(asking, corpus is None).withColumn("asks", F.lit(True))
-    if corpus is not None:
-        sent = sent.unionByName(send(counted, True).withColumn("asks", F.lit(False)))
+    asking = blocks_of(docs, id_col, text_col)
+    sent = send(asking, leave_out).withColumn("asks", F.lit(True))
+    if not leave_out:
+        sent = sent.unionByName(send(blocks_of(corpus, id_col if id_col in corpus.columns else corpus.columns[0], text_col), True).withColumn("asks", F.lit(False)))
     answers = sent.groupBy("bucket").applyInArrow(answered, "block bigint, bucket bigint, at binary, total binary")
     held = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "total")).alias("answers"))
-    joined = asking.join(held, "block", "left").select("ids", "blob", "n_bytes", "answers")
-    leave_out = corpus is None
+    joined = blocks_of(docs, id_col, text_col).join(held, "block", "left").select("ids", "blob", "n_bytes", "answers")
 
     def run(batches):
         for batch in batches:
             for ids, blob, n_bytes, answers in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if not answers:
+                    raise ValueError("docs changed between two readings: write it to a table first")
                 block = Block(decoded(blob))
-                codes, inverse, n = np.unique(block.grams >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-                inverse = inverse.reshape(block.grams.shape)
+                codes, n, inverse = listed(block, bits)
+                block.grams = None
                 total = n * leave_out
                 bucket = bucket_of(codes, bits, buckets)
                 begin = {int(bucket[a]): a for a, _ in spans(bucket)}
-                for x in answers or ():
+                for x in answers:
                     total[begin[x["bucket"]] + np.cumsum(unsqueeze(x["at"]).astype(np.int64))] = unsqueeze(x["total"])
-                own = own_counts(block, inverse, n) if leave_out else np.zeros(inverse.shape, np.int64)
-                lens = block.lens
-                others = np.full(len(lens), n_docs - leave_out)
-                logs = Automaton(block, total[inverse], own, others, n_words - lens * leave_out, mu).score()
+                counts = [total[at] - (own_counts(block, at, n) if leave_out else 0) for at in inverse]
+                logs = Automaton(block, counts, n_docs - leave_out, total[0] - block.lens * leave_out, mu).score()
                 size = np.array(n_bytes)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(size, pa.int64()), pa.array(logs), pa.array(-logs / math.log(2) / (size + 1))], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
 
@@ -287,11 +293,13 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, mu: float = 4.0,
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, log_prob double, bits_per_byte double")
 
 
-def own_counts(block: Block, inverse: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How often each place's sequences occur in its own document. inverse: their numbers in the block, n: how often each occurs there."""
-    owner = np.broadcast_to(np.repeat(np.arange(len(block.lens), dtype=np.int64), block.lens), inverse.shape)
-    own = np.ones(inverse.shape, np.int64)
-    twice = n[inverse] > 1
-    _, back, times = np.unique(owner[twice] << 32 | inverse[twice], return_inverse=True, return_counts=True)
-    own[twice] = times[back]
+def own_counts(block: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each place's sequence occurs in its own document. at: its number in the block, n: how often each occurs there."""
+    own = np.ones(len(at), np.int64)
+    twice = np.flatnonzero(n[at] > 1)
+    owner = np.repeat(np.arange(len(block.lens), dtype=np.int64), block.lens)[twice]
+    key = owner << 32 | at[twice]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+    own[twice[order]] = np.repeat(np.diff(first, append=len(key)), np.diff(first, append=len(key)))
     return own

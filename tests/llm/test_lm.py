@@ -48,7 +48,7 @@ def sample():
 
 @pytest.mark.parametrize("words", [1_000_000, 200])
 def test_equals_brute_force_without_own_counts(spark, monkeypatch, words):
-    monkeypatch.setattr(lm, "BUCKET_WORDS", words)
+    monkeypatch.setattr(lm, "BUCKET_CHARS", words)
     texts = sample()
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat"), (3, texts[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes", "2 as code", "3 as block").repartition(3)
