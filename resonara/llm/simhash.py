@@ -14,52 +14,67 @@ from .common import Shelf, packed
 
 WORD = re.compile(r"\w+")
 BITS = 128
-LONG_WORD = 5
-FEW_WORDS = 16
+#: A word weighs as much as it has letters but one, LIGHT to HEAVY; a pair of neighbouring words weighs PAIR.
+LIGHT, HEAVY, PAIR = 1, 6, 1
 #: In a key the number of (segment, bit) is above this bit; segments are at most 32 bits wide.
 TAG = 48
 
 
-def text_features(text: str) -> list[str]:
-    """Distinct words of at least LONG_WORD letters: rarer ones, so that a language's common words don't make its texts alike.
+class _Hashes(dict):
+    """MD5 of words as two 64-bit numbers, and their lengths, kept from text to text."""
 
-    A text with fewer than FEW_WORDS of these has all its words and pairs of neighbours instead.
+    def __missing__(self, w: str) -> tuple[int, int, int]:
+        if len(self) > 300_000:
+            self.clear()
+        d = md5(w.encode()).digest()
+        self[w] = got = (int.from_bytes(d[:8]), int.from_bytes(d[8:]), len(w))
+        return got
+
+
+_hashes = _Hashes()
+
+
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes as two 64-bit numbers, weights) of a text's distinct words and distinct pairs of neighbours, whatever its length.
+
+    Longer words are rarer ones and weigh more, so that a language's common words don't make its texts alike. A pair's hash is its first word's, each
+    half turned by a bit, against its second word's.
     """
     words = WORD.findall(text.lower())
-    long = {w for w in words if len(w) >= LONG_WORD}
-    if len(long) >= FEW_WORDS:
-        return list(long)
-    return list({*words, *map(" ".join, zip(words, words[1:]))})
+    if not words:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    rows = [_hashes[w] for w in distinct]
+    h = np.array([r[:2] for r in rows], np.uint64)
+    at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+    pair = np.unique(at[:-1] * len(rows) + at[1:])
+    first, second = h[pair // len(rows)], h[pair % len(rows)]
+    pairs = ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
+    weight = np.clip([r[2] - 1 for r in rows], LIGHT, HEAVY)
+    return np.concatenate([h, pairs]), np.concatenate([weight, np.full(len(pair), PAIR)])
 
 
 def signatures(texts: list[str | None]) -> list[tuple[int, int] | None]:
-    """128-bit SimHash of each text as two signed 64-bit numbers; None for a text without a word."""
-    feats = [text_features(t) if t else [] for t in texts]
-    lens = np.fromiter(map(len, feats), np.int64, len(feats))
-    out: list[tuple[int, int] | None] = [None] * len(texts)
-    have = np.flatnonzero(lens)
-    step = 4_000_000 // BITS
-    i = 0
-    while i < len(have):  # whole texts, some megabytes of bits at a time
-        j, n = i, 0
-        while j < len(have) and (j == i or n + lens[have[j]] <= step):
-            n += lens[have[j]]
-            j += 1
-        raw = b"".join([md5(f.encode()).digest() for k in have[i:j] for f in feats[k]])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1)
-        at = np.concatenate([[0], np.cumsum(lens[have[i:j]])[:-1]])
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        sig = np.packbits(2 * ones > lens[have[i:j]][:, None], axis=1).view(">i8").astype(np.int64)
-        for k, (a, b) in zip(have[i:j], sig.tolist()):
-            out[k] = (a, b)
-        i = j
+    """128-bit SimHash of each text as two signed 64-bit numbers; None for a text without a word. A bit is set if features of more than half the weight have it."""
+    out: list[tuple[int, int] | None] = []
+    for t in texts:
+        h, weight = text_features(t) if t else ((), ())
+        if not len(h):
+            out.append(None)
+            continue
+        ones = np.zeros(BITS, np.int64)
+        for k in range(0, len(h), 100_000):  # some megabytes of bits at a time
+            bits = np.unpackbits(h[k : k + 100_000].byteswap().view(np.uint8).reshape(-1, 16), axis=1)
+            ones += np.rint(weight[k : k + 100_000].astype(np.float32) @ bits.astype(np.float32)).astype(np.int64)
+        a, b = np.packbits(2 * ones > weight.sum()).view(">i8").tolist()
+        out.append((a, b))
     return out
 
 
 def _signature_batches(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        sigs = [s for k in range(0, len(texts), 512) for s in signatures(texts[k : k + 512])]  # features of few texts are held at a time
+        sigs = signatures(texts)
         yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([None if s is None else s[k] for s in sigs], pa.int64()) for k in (0, 1)]], names=["id", "s0", "s1"])
 
 
@@ -139,12 +154,12 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 6, radius: int = 22) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the group's smallest doc_id.
 
-    128-bit SimHash, by MD5, over distinct longer words. Equal signatures are one node, so exact copies cost nothing; nodes within
+    128-bit SimHash, by MD5, over distinct words, weighted by length, and distinct pairs of neighbours. Equal signatures are one node, so exact copies cost nothing; nodes within
     ``radius`` bits that differ by at most one bit in one of ``segments`` segments are joined by equality and verified
     (certain up to 2 * segments - 1 bits, likely beyond), and a group is a connected component. More documents than
     about 2 ** 27 ask for wider, that is fewer, segments: a key then keeps few unrelated signatures.
 
-    Defined cases: documents without a word (null, empty, only punctuation) and those with a null identifier are in no
+    A bit that features of just half the weight have is 0. Defined cases: documents without a word (null, empty, only punctuation) and those with a null identifier are in no
     group; rows that repeat an identifier count once for each signature and an identifier gets its least group; no rows - no rows.
     """
     if segments % 2 or not 4 <= segments <= 8:

@@ -85,11 +85,11 @@ _SEGMENTS = [("h", 43, 21), ("h", 21, 22), ("h", 0, 21), ("l", 43, 21), ("l", 21
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (SELECT row, doc_id, word, pos FROM (SELECT row, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
        FROM (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
-     n AS (SELECT row, count(DISTINCT word) FILTER (WHERE length(word) >= 5) AS long FROM w GROUP BY 1),
-     f AS (SELECT DISTINCT row, doc_id, word AS feature FROM w JOIN n USING (row) WHERE long < 16 OR length(word) >= 5
-           UNION SELECT row, doc_id, word || ' ' || follows FROM (SELECT *, lead(word) OVER (PARTITION BY row ORDER BY pos) AS follows FROM w) JOIN n USING (row) WHERE long < 16 AND follows IS NOT NULL),
-     m AS MATERIALIZED (SELECT row, doc_id, ('0x' || substr(md5(feature), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(feature), 17, 16))::UBIGINT AS l FROM f),
-     v AS (SELECT row, doc_id, b, 2 * sum((h >> b) & 1) > count(*) AS hi, 2 * sum((l >> b) & 1) > count(*) AS lo FROM m, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL),
+     x AS MATERIALIZED (SELECT word, length(word) AS size, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(word), 17, 16))::UBIGINT AS l FROM (SELECT DISTINCT word FROM w)),
+     q AS (SELECT DISTINCT row, doc_id, word, follows FROM (SELECT *, lead(word) OVER (PARTITION BY row ORDER BY pos) AS follows FROM w) WHERE follows IS NOT NULL),
+     m AS MATERIALIZED (SELECT row, doc_id, h, l, least(6, greatest(1, size - 1)) AS weight FROM (SELECT DISTINCT row, doc_id, word FROM w) JOIN x USING (word)
+           UNION ALL SELECT row, doc_id, xor(((a.h & 9223372036854775807) << 1) | (a.h >> 63), b.h), xor(((a.l & 9223372036854775807) << 1) | (a.l >> 63), b.l), 1 FROM q JOIN x a ON a.word = q.word JOIN x b ON b.word = q.follows),
+     v AS (SELECT row, doc_id, b, 2 * sum(((h >> b) & 1) * weight) > sum(weight) AS hi, 2 * sum(((l >> b) & 1) * weight) > sum(weight) AS lo FROM m, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL),
      g AS MATERIALIZED (SELECT row, doc_id, sum(CASE WHEN hi THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS h, sum(CASE WHEN lo THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS l FROM v GROUP BY ALL),
      s AS MATERIALIZED (SELECT h, l, min(doc_id) AS least, count(*) AS n FROM g GROUP BY ALL),
      e AS MATERIALIZED (SELECT a.least AS u, b.least AS v FROM s a JOIN s b ON (a.h, a.l) <> (b.h, b.l)

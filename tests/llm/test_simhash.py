@@ -78,3 +78,29 @@ def test_edges_and_removal(spark):
     assert sorted(r.s0 for r in left.collect()) == [2, 4, 5, 6, 7, 8, 9, 10]
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near_duplicates(df.limit(0)).count() == 0
     assert signatures(["x " * 100_000, None])[1] is None and isinstance(np.int64(signatures(["a b"])[0][0]), np.int64)
+
+
+def test_distance_rises_evenly_with_the_number_of_long_words():
+    """One long word against a short one: no number of long words makes near texts far ones."""
+    rng = random.Random(3)
+    for n in range(12, 21):
+        apart = []
+        for _ in range(40):
+            words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)] + [f"w{k}" for k in range(20)]
+            other = [*words[: n - 1], "ab", *words[n:]]
+            a, b = signatures([" ".join(words), " ".join(other)])
+            apart.append(far(a, b))
+        assert 6 <= sum(apart) / len(apart) <= 20, n
+
+
+def test_signature_against_plain_arithmetic():
+    from hashlib import md5
+
+    for text in ("a", "one two", "One, two; one THREE three one two " * 3, "ab " * 50):
+        words = text.lower().replace(",", "").replace(";", "").split()
+        h = lambda w: int(md5(w.encode()).hexdigest(), 16)
+        turn = lambda x: sum(((v << 1 | v >> 63) & M) << s for v, s in ((x >> 64, 64), (x & M, 0)))
+        feats = [(h(w), min(6, max(1, len(w) - 1))) for w in set(words)] + [(turn(h(a)) ^ h(b), 1) for a, b in set(zip(words, words[1:]))]
+        want = sum((2 * sum(w for x, w in feats if x >> k & 1) > sum(w for _, w in feats)) << k for k in range(128))
+        a, b = signatures([text])[0]
+        assert (a & M) << 64 | b & M == want
