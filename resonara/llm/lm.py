@@ -285,7 +285,9 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, mu: float = 4.0,
                 for x in answers:
                     total[begin[x["bucket"]] + np.cumsum(unsqueeze(x["at"]).astype(np.int64))] = unsqueeze(x["total"])
                 counts = [total[at] - (own_counts(block, at, n) if leave_out else 0) for at in inverse]
-                logs = Automaton(block, counts, n_docs - leave_out, total[0] - block.lens * leave_out, mu).score()
+                signs = total[0] - block.lens * leave_out
+                del codes, n, inverse, total, bucket, begin
+                logs = Automaton(block, counts, n_docs - leave_out, signs, mu).score()
                 size = np.array(n_bytes)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(size, pa.int64()), pa.array(logs), pa.array(-logs / math.log(2) / (size + 1))], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
 
