@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +72,16 @@ class ToxicModel:
     bias: float
     transition: list[list[float]]
     start: float
+    noise: float
     threshold: float
 
+    def score(self, mass, words):
+        """Expected toxic words against half a one and twice those that as many clean words have: a clean text scores a third at most, about, however long it is."""
+        return mass / (mass + 0.5 + 2 * self.noise * words)
+
     def tagger(self):
         """A function from texts to (score, spans) for each; words' emissions are kept from call to call."""
-        weights, bias = self.weights, self.bias
+        weights, bias, score = self.weights, self.bias, self.score
 
         class Emissions(dict):
             def __missing__(self, w):
@@ -107,12 +112,14 @@ class ToxicModel:
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             fw, bw = chain(np.exp(np.clip(np.concatenate(held), -30, 30)), starts, lens, tr, first)
             fw *= bw
+            p = fw / (1 + fw)
+            full = np.flatnonzero(lens)
+            mass = np.add.reduceat(p, starts[full]) if len(full) else np.zeros(0)
             hot = np.flatnonzero(fw >= 1)
-            p = fw[hot] / (1 + fw[hot])
-            owner = np.searchsorted(starts + lens, hot, side="right")
-            for i in np.unique(owner):
-                m = float(p[owner == i].sum())
-                out[begin + i] = (m / (1 + m), spans_of(texts[begin + i], hot[owner == i] - starts[i]))
+            cut = np.searchsorted(hot, np.concatenate([starts, [len(p)]]))
+            for i, m in zip(full.tolist(), score(mass, lens[full]).tolist()):
+                own = hot[cut[i] : cut[i + 1]] - starts[i]
+                out[begin + i] = (m, spans_of(texts[begin + i], own) if len(own) else [])
 
         return tag
 
@@ -206,7 +213,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
     lex = Lexicon(texts)
     wid, ids, lens = lex.word, lex.words, lex.lens
     if not len(wid):
-        return ToxicModel({}, -30.0, [[0.0, 0.0], [0.0, 0.0]], 0.0, 0.34)
+        return ToxicModel({}, -30.0, [[0.0, 0.0], [0.0, 0.0]], 0.0, 0.0, 1.0)
     y = token_labels(lex, texts, toxic)
     hot_words = np.bincount(wid, y, len(ids)) > 0
     # a feature of one clean word tells no more than the bias
@@ -221,7 +228,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
     inner_at = np.flatnonzero(inner)
     y0, y1 = y[inner_at - 1], y[inner_at]
     seen_tr = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
-    w, bias, tr, first = np.zeros(len(fids)), -3.0, np.zeros((2, 2)), 0.0
+    w, bias, tr, first = np.zeros(len(fids)), float(np.log(max(1.0, y.sum()) / len(y))), np.zeros((2, 2)), 0.0  # at first all words are alike
     g2 = {"w": np.full(len(fids), 1e-8), "o": np.full(6, 1e-8)}
     scale = 1.0 / max(1.0, y.sum())
     for _ in range(rounds if y.sum() else 0):
@@ -241,28 +248,34 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
         w += rate * gw / np.sqrt(g2["w"])
         step = rate * go / np.sqrt(g2["o"])
         bias, tr, first = bias + step[0], tr + step[1:5].reshape(2, 2), first + step[5]
-    model = ToxicModel({x: float(w[i]) for x, i in fids.items() if abs(w[i]) > 1e-6}, float(bias) if y.sum() else -30.0, tr.tolist(), float(first), 0.34)
-    scores = np.array([s for s, _ in model.tagger()(texts)])
-    t = np.array(toxic)
-    marks = []
-    for cut in (0.33, 0.6, 0.71):  # at least half a toxic word is expected, or one and a half, or two and a half
-        hit = ((scores >= cut) & (t == 1)).sum()
-        marks.append((2 * hit / max(1, (scores >= cut).sum() + t.sum()), -cut))
-    model.threshold = -max(marks)[1]
+    model = ToxicModel({x: float(w[i]) for x, i in fids.items() if abs(w[i]) > 1e-6}, float(bias) if y.sum() else -30.0, tr.tolist(), float(first), 0.0, 1.0)
+    score = np.array([s for s, _ in model.tagger()(texts)])
+    mass, bad = 0.5 * score / (1 - score), np.array(toxic) == 1
+    model.noise = float(mass[~bad].sum() / max(1, lens[~bad].sum()))
+    score = model.score(mass, lens)
+    # the cut with the best F1, halfway to the next score; a score of 1 is never reached
+    order = np.argsort(-score, kind="stable")
+    f1 = 2 * np.cumsum(bad[order]) / (np.arange(1, len(order) + 1) + bad.sum())
+    ends = np.flatnonzero(np.diff(score[order], append=-1.0))  # equal scores are on one side
+    if y.sum():
+        k = int(ends[np.argmax(f1[ends])])
+        model.threshold = max(0.4, float(score[order[k]] + (score[order[k + 1]] if k + 1 < len(order) else 0.0)) / 2)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(h, lid, lab, txt) of at most ``per_class`` labelled documents of each class, chosen by a hash of the identifier, whole.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, fit_chars: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(h, lid, lab, txt) of at most ``per_class`` labelled documents of each class, chosen by a hash of the identifier, whole, in the hash's order as far as ``fit_chars`` characters go.
 
     Identifiers are chosen among the labels first: at most 2 * per_class of them are broadcast to the one scan of documents.
-    Documents with contradictory labels, null labels, identifiers or texts are not used.
+    A document over a sixteenth of ``fit_chars`` isn't used. Documents with contradictory labels, null labels, identifiers or texts are not used.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{label_col}`").cast("int").alias("lab")).where("lid is not null and lab in (0, 1)")
     own = own.groupBy("lid").agg(F.min("lab").alias("lab"), F.max("lab").alias("most")).where("lab = most").select("lid", "lab", F.xxhash64("lid").alias("h"))
     chosen = own.where("lab = 1").orderBy("h", "lid").limit(per_class).unionByName(own.where("lab = 0").orderBy("h", "lid").limit(per_class))
     texts = docs.select(F.col(f"`{id_col}`").alias("did"), F.col(f"`{text_col}`").alias("txt")).where("did is not null and txt is not null")
-    return texts.join(F.broadcast(chosen), F.col("did") == F.col("lid")).select("h", "lid", "lab", "txt").distinct()
+    found = texts.where(F.length("txt") <= fit_chars // 16).join(F.broadcast(chosen), F.col("did") == F.col("lid")).select("h", "lid", "lab", "txt").distinct()
+    so_far = F.sum(F.length("txt")).over(Window.orderBy("h", "lid", "txt"))  # in one task, as the fit is
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= fit_chars).drop("so_far")
 
 
 def fitted(sample: DataFrame) -> ToxicModel:
@@ -276,18 +289,19 @@ def fitted(sample: DataFrame) -> ToxicModel:
     return ToxicModel(**json.loads(row["model"])) if row else fit([], [])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, fit_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Columns of docs, and toxic_score, is_toxic and toxic_spans (start and end character of each offending passage).
 
     A linear-chain conditional random field with two tags is fitted on labelled tokens of at most ``per_class`` labelled
-    documents of each class. Every whole text of docs is tagged: forward-backward gives each word's marginal, words of
-    at least 0.5 are offending, and a document's score is m / (1 + m) for their summed marginals m. A score at the
-    threshold that separates the labelled documents best is toxic. The scan is one narrow map: no shuffle.
+    documents of each class and ``fit_chars`` characters in all. Every whole text of docs is tagged: forward-backward gives each word's marginal, words of
+    at least 0.5 are offending, and a document's score is m / (m + 1/2 + 2 c) for its summed marginals m, all words counted, and the
+    sum c that as many words of clean labelled documents have. A score at or over the
+    cut that separates the labelled documents best, 0.4 at least, is toxic. The scan is one narrow map: no shuffle.
 
     Defined cases: a null or empty text has score 0 and no spans; without labels of both kinds nothing is toxic;
     repeated rows score alike; an empty table stays empty; where docs has a column of such a name, underscores are appended to the new one's.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, per_class, id_col, text_col, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, per_class, fit_chars, id_col, text_col, label_col)))
     names = [free_name(docs, c) for c in ("toxic_score", "is_toxic", "toxic_spans")]
     fields = T.StructType([*docs.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(names, SCORES.fields)]])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -305,6 +319,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, id_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The documents that ``toxicity`` does not find toxic, with their own columns."""
+    """The documents that ``toxicity`` does not find toxic, with their own columns.
+
+    Defined cases: those of ``toxicity``; null and empty texts, null identifiers and repeated rows stay, as do all rows where labels teach nothing.
+    """
     flag = free_name(docs, "is_toxic")
     return toxicity(docs, labels, **params).where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,8 +2,9 @@ import itertools
 
 import duckdb
 import numpy as np
+import pytest
 
-from resonara.llm.toxicity import WORD, chain, drop_toxic, fit, spans_of, toxicity
+from resonara.llm.toxicity import WORD, chain, drop_toxic, features, fit, fitted, labelled_sample, spans_of, toxicity
 
 
 def test_marginals_equal_enumeration():
@@ -59,3 +60,52 @@ def test_operator_and_edges(spark):
     assert not any(r.is_toxic for r in toxicity(df, labels.where("toxic = 0")).collect())
     assert toxicity(df, labels.limit(0)).where("is_toxic").count() == 0
     assert toxicity(df.limit(0), labels).count() == 0
+
+
+def brute(model, text):
+    """Score and spans of a text from the probabilities of all its taggings."""
+    words = list(WORD.finditer(text.lower()))
+    d = [model.bias + sum(model.weights.get(f, 0.0) for f in features(m.group())) for m in words]
+    total, hot = 0.0, np.zeros(len(words))
+    for tags in itertools.product((0, 1), repeat=len(words)):
+        w = np.exp(model.start * tags[0] + sum(x * t for x, t in zip(d, tags)) + sum(model.transition[a][b] for a, b in zip(tags, tags[1:])))
+        total += w
+        hot += w * np.array(tags)
+    p, spans = hot / total, []
+    for k in np.flatnonzero(p >= 0.5):
+        if k and p[k - 1] >= 0.5:
+            spans[-1] = (spans[-1][0], words[k].end())
+        else:
+            spans.append(words[k].span())
+    return p.sum() / (p.sum() + 0.5 + 2 * model.noise * len(words)), spans
+
+
+def test_scores_and_spans_against_enumeration(spark):
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    train = docs(spark)
+    model = fitted(labelled_sample(train, labels, 1000, 1_000_000))
+    texts = ["you stupid moron", "a calm river", "What a STUPID, moron idea; you calm moron", "fine", "stupid " * 9, "is w1 x2 stupid"]
+    rows = spark.createDataFrame([(i + 10_000, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, toxic_score string")
+    got = {r.doc_id - 10_000: r for r in toxicity(train.unionByName(rows), labels).collect() if r.doc_id is not None and r.doc_id >= 10_000}
+    for i, t in enumerate(texts):
+        score, spans = brute(model, t)
+        assert got[i].toxic_score_ == pytest.approx(score, rel=1e-9) and 0 < score < 1
+        assert [tuple(s) for s in got[i].toxic_spans] == spans
+        assert got[i].is_toxic == (score >= model.threshold)
+    clean = {got[i].toxic_score_ for i in (1, 3)}
+    assert len(clean) == 2  # all marginals count, also where nothing is flagged
+
+
+def test_a_score_at_the_cut_is_toxic_and_long_texts_keep_their_scores():
+    texts = [f"you {'stupid moron' if i < 60 else 'calm river'} number{i} is w{i * 3} x{i * 7}" for i in range(160)]
+    m = fit(texts, [1] * 60 + [0] * 100)
+    (score, _), (long_bad, spans), (long_clean, none) = m.tagger()([texts[1], "calm river " * 5_000 + "stupid moron " * 30, "calm river " * 50_000])
+    assert long_bad > m.threshold > long_clean and len(spans) == 1 and none == [] and spans[0][0] == 55_000
+    m.threshold = score
+    assert m.tagger()([texts[1]])[0][0] >= m.threshold
+
+
+def test_sample_is_bounded_in_characters(spark):
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    n = [labelled_sample(docs(spark), labels, 1000, c).count() for c in (1_000_000, 2000, 0)]
+    assert n[0] == 120 and 20 < n[1] < 120 and n[2] == 0
