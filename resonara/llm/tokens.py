@@ -116,11 +116,17 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, huge_chars: int = 32768, c
 
 
 def _spliced(pending: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFrame:
-    """(row, n_tokens) of documents (row, text, n_chars); null where a pair of chunks shares no boundary."""
-    step = chunk - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_chars").cast("int") - overlap - 1), F.lit(step))
-    cut = pending.select("row", "n_chars", "text", F.explode(starts).alias("start"))
-    parts = cut.select("row", "n_chars", "start", F.substring("text", F.col("start") + 1, F.lit(chunk)).alias("part")).repartition("row", "start")
+    """(row, n_tokens) of documents (row, text, n_chars); null where a pair of chunks shares no boundary. A text is cut in one pass."""
+    def cut(batches):
+        for batch in batches:
+            for row, n, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                bounds = chunk_bounds(n, chunk, overlap)
+                for at in range(0, len(bounds), 64):
+                    some = bounds[at : at + 64]
+                    columns = [pa.array([row] * len(some), pa.int64()), pa.array([n] * len(some), pa.int64()), pa.array([a for a, _ in some], pa.int32()), pa.array([text[a:b] for a, b in some])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "n_chars", "start", "part"])
+
+    parts = pending.select("row", "n_chars", "text").mapInArrow(cut, "row bigint, n_chars bigint, start int, part string").repartition("row", "start")
 
     def encode(batches):
         for batch in batches:
