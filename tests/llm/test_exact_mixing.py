@@ -2,9 +2,10 @@ import hashlib
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from resonara.llm.exact import exact_dedup
+from resonara.llm.exact import exact_dedup, thinned
 from resonara.llm.mixing import mix_sources, target_rates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,6 +28,34 @@ def test_exact_long_texts_empty_table_and_clashing_names(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_batches_lose_their_own_copies_only():
+    norm, ids = ["b", "a", "b", None, None, "a", "b", ""], [4, None, 2, 1, 1, 7, 2, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(norm), pa.array(ids)], names=["r", "norm", "id"])
+    assert [r for b in thinned([batch, batch.slice(0, 0)]) for r in b.column(0).to_pylist()] == [2, 3, 4, 5, 7]
+    words = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(["x", "x", "y"]), pa.array(["q", "p", None])], names=["r", "norm", "id"])
+    assert [b.column(0).to_pylist() for b in thinned([words])] == [[1, 2]]
+
+
+def test_exact_many_copies_against_brute_force(spark):
+    rows = [(i * 7919 % 5000, f"text {i % 3}" if i % 5 else f"own {i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)
+    want = {}
+    for i, t, _ in rows:
+        want[t] = min(i, want.get(t, i))
+    assert sorted((r.doc_id, r.text) for r in exact_dedup(df).collect()) == sorted((i, t) for t, i in want.items())
+
+
+def test_mixing_very_long_texts_and_repeated_rows(spark):
+    rows = [(1, "word " * 100_000, "en", "a", 0), (2, "x", "en", "b", 0)] + [(3, "same", "en", "b", 0)] * 4
+    df = spark.createDataFrame(rows, DOCS)
+    got = mix_sources(df, {"a": 0.5, "b": 0.5}, budget=6.0)
+    n = Counter(r.doc_id for r in got.collect())
+    rates = {r.src: r.rate for r in target_rates(df, {"a": 0.5, "b": 0.5}, budget=6.0).collect()}
+    assert n[1] == draws(20240, 1, rates["a"]) and rates["a"] == pytest.approx(6.0 * 0.5 * 500_017 / 500_000)
+    assert n[3] % 4 == 0  # repeated rows share a draw
+    assert all(len(r.text) == 500_000 for r in got.collect() if r.doc_id == 1)
+
+
 def draws(seed, ident, mean):
     u = int(hashlib.md5(f"{seed}|{ident}|1".encode()).hexdigest()[:13], 16) / 2**52
     k, p = 0, math.exp(-mean)
