@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, numbered
 
 OPEN, AFTER_ROLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -67,19 +67,27 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     )
 
 
-def swapped_answers(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
+def swapped_answers(conversations: DataFrame, key: str = "conv_id", part_rows: int = 1_000_000) -> DataFrame:
     """A rejected side for conversations that come without one: the last assistant turn says what the next conversation's last one says.
 
-    The next conversation is the one whose identifier is larger by one; where there is none, or it never answers, the last
+    The next conversation is the one with the next larger identifier, of whatever type that can be sorted. Where it never answers, and in the last one, the last
     assistant turn is left out. Turns after the last assistant turn are left out on this side. A conversation without
-    an assistant turn is as it was.
+    an assistant turn is as it was. Conversations are numbered by a range sort, so no task sees all of them.
+
+    Defined cases: rows with a null identifier are left out; a null role is no assistant's; of several last assistant turns with one number
+    the largest text is the answer, and each of them says the next one's; a null turn number comes first; other columns are left out; no rows - no rows.
     """
+    shelf = Shelf(conversations.sparkSession, "chat")
     c = conversations.select(F.col(f"`{key}`").alias("conv_id"), "turn", "role", "text").where("conv_id is not null")
-    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    last = Shelf(conversations.sparkSession, "chat").put(last)
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.lit(True).alias("there"), F.col("last.text").alias("other"))
-    own = last.select("conv_id", F.col("last.turn").alias("last_turn"))
-    marked = c.join(own, "conv_id", "left").join(other, "conv_id", "left")
-    is_last = F.coalesce((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.lit(False))
-    kept = marked.where(F.col("last_turn").isNull() | (F.col("turn") <= F.col("last_turn"))).where(~is_last | F.col("there"))
+    # a null turn number is less than all others, as in the order of turns
+    said = F.when(F.col("role") == "assistant", F.struct(F.col("turn").isNotNull().alias("has"), "turn", "text"))
+    last = shelf.put(c.groupBy("conv_id").agg(F.max(said).alias("last")))
+    last = shelf.put(numbered(last, ["conv_id"], 1 + last.count() // part_rows, "n", shelf))
+    other = last.where("last is not null").select((F.col("n") - 1).alias("n"), F.lit(True).alias("there"), F.col("last.text").alias("other"))
+    own = last.select("conv_id", "n", F.col("last").isNotNull().alias("speaks"), F.col("last.turn").alias("last_turn")).join(other, "n", "left")
+    marked = c.join(own, "conv_id")
+    at = F.coalesce(F.col("turn") <= F.col("last_turn"), F.col("turn").isNull())
+    is_last = F.col("speaks") & (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last_turn"))
+    is_last = F.coalesce(is_last, F.lit(False))
+    kept = marked.where(~F.col("speaks") | at).where(~is_last | F.col("there"))
     return kept.select(F.col("conv_id").alias(key), "turn", "role", F.when(is_last, F.col("other")).otherwise(F.col("text")).alias("text"))

@@ -37,7 +37,8 @@ SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 CHAT_SQL = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
      last AS (SELECT conv_id, max(turn) AS last_turn FROM c WHERE role = 'assistant' GROUP BY 1),
-     answer AS (SELECT c.conv_id - 1 AS conv_id, text AS other FROM c JOIN last ON c.conv_id = last.conv_id AND c.turn = last_turn WHERE role = 'assistant'),
+     next AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS follows FROM (SELECT DISTINCT conv_id FROM c)),
+     answer AS (SELECT next.conv_id, max(text) AS other FROM next JOIN last ON last.conv_id = follows JOIN c ON c.conv_id = follows AND c.turn = last_turn WHERE role = 'assistant' GROUP BY 1),
      bad AS (SELECT c.conv_id, turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END AS text
              FROM c LEFT JOIN last USING (conv_id) LEFT JOIN answer USING (conv_id)
              WHERE last_turn IS NULL OR turn < last_turn OR (turn = last_turn AND (role <> 'assistant' OR other IS NOT NULL))),

@@ -39,7 +39,8 @@ def test_against_brute_force_and_edges(spark):
         if last is None:
             assert cb[k] == turns
         else:
-            nxt = [t for role, t in ca.get(k + 1, []) if role == "assistant"]
+            after = min((x for x in ca if x > k), default=None)
+            nxt = [t for role, t in ca.get(after, []) if role == "assistant"]
             assert cb.get(k, []) == turns[:last] + ([("assistant", nxt[-1])] if nxt else [])
     for r in format_preferences(a, b).collect():
         x, y = ca[r.conv_id], cb[r.conv_id]
@@ -50,3 +51,14 @@ def test_against_brute_force_and_edges(spark):
     assert format_preferences(a.limit(0), b).count() == 0
     twice = frame(spark, [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "s")])
     assert format_preferences(twice, twice).first().prompt == show([("system", "s"), ("user", "a"), ("user", "a"), ("user", "b")])
+
+
+def test_identifiers_of_any_type_and_gaps(spark):
+    says = [("b", 0, "user", "q"), ("b", 1, "assistant", "of b"), ("d", 0, "user", "q"), ("d", 1, "assistant", "of d"), ("d", 2, "user", "bye"), ("a", 0, "user", "q"), ("a", 1, "assistant", "of a"), ("e", 0, "user", "alone"), (None, 0, "user", "z")]
+    df = spark.createDataFrame(says, "conv_id string, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.text for r in swapped_answers(df, part_rows=2).collect()}
+    assert got == {("a", 0): "q", ("a", 1): "of b", ("b", 0): "q", ("b", 1): "of d", ("d", 0): "q", ("e", 0): "alone"}
+    assert {r.conv_id for r in format_preferences(df, swapped_answers(df)).collect()} == {"a", "b", "d", "e"}
+    gaps = spark.createDataFrame([(10, 0, "assistant", "x"), (700, 0, "assistant", "y"), (700, 0, "assistant", "z"), (700, None, "assistant", "w")], "conv_id int, turn long, role string, text string")
+    assert sorted((r.conv_id, -1 if r.turn is None else r.turn, r.text) for r in swapped_answers(gaps).collect()) == [(10, 0, "z"), (700, -1, "w")]
+    assert swapped_answers(df.limit(0)).count() == 0
