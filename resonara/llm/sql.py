@@ -21,7 +21,8 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0)
 
 #: BM25 with whole-number weights over all documents.
 TOP_K_SQL = r"""
-WITH q AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+WITH b AS (SELECT item_id, text, CAST(row_number() OVER (PARTITION BY item_id ORDER BY text) AS INTEGER) AS query_no FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+     q AS (SELECT item_id, query_no, t AS term, count(*) AS qtf FROM (SELECT item_id, query_no, unnest(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')) AS t FROM b) GROUP BY ALL),
      w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')) AS term FROM documents),
      l AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+')), 0) AS len FROM documents),
      s AS (SELECT count(*)::DOUBLE AS n, sum(len)::DOUBLE / count(*) AS mean FROM l),
@@ -29,9 +30,9 @@ WITH q AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unne
      f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY 1),
      i AS (SELECT doc_id, term, CAST(floor(1000.0::DOUBLE * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) + 0.5::DOUBLE) AS BIGINT) AS weight
            FROM p JOIN f USING (term) JOIN l USING (doc_id), s),
-     c AS (SELECT item_id AS query_id, doc_id, CAST(sum(qtf * weight) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(qtf * weight) > 0),
-     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c)
-SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+     c AS (SELECT item_id AS query_id, query_no, doc_id, CAST(sum(qtf * weight) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(qtf * weight) > 0),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, query_no ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c)
+SELECT query_id, query_no, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 CHAT_SQL = """

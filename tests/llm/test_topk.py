@@ -37,6 +37,21 @@ def test_equals_brute_force_with_ties_and_passes(spark):
         got = {(r.query_id, r.rank, r.doc_id, r.score) for r in top_k(q, d, queries_at_once=at_once).collect()}
         assert got == want
     assert top_k(q, d.limit(0)).count() == 0 and top_k(q.limit(0), d).count() == 0
-    null_q = spark.createDataFrame([(None, "w1"), (1, "w1"), (1, "w1")], "item_id long, text string")
-    assert {r.query_id for r in top_k(null_q, d, k=3).collect()} == {1}
-    assert top_k(null_q, d, k=3).count() == 3
+    null_q = spark.createDataFrame([(None, "w1"), (1, "w1"), (1, "w1"), (1, "w2")], "item_id long, text string")
+    got = top_k(null_q, d, k=3).collect()
+    assert {(r.query_id, r.query_no, r.rank) for r in got} == {(1, n, r) for n in (1, 2, 3) for r in (1, 2, 3)}
+    of = lambda n: [(r.rank, r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_no == n]
+    assert of(1) == of(2) != of(3) and of(3) == [x[1:] for x in sorted(brute([(1, "w2")], docs, 3))]
+
+
+def test_identifiers_of_any_type_and_repeated_ones(spark):
+    rows = [(i, f"w{i % 3} w{i % 5}") for i in range(40)] + [(7, "w1 w1"), (7, "w1 w1")]
+    want = {(r, i, s) for _, r, i, s in brute([(1, "w1 w2")], rows, 10)}
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([("one", "w1 w2")], "item_id string, text string")
+    for cast in ("smallint", "decimal(9,0)", "int"):
+        assert {(r.rank, int(r.doc_id), r.score) for r in top_k(q, base.withColumn("doc_id", base.doc_id.cast(cast))).collect()} == want, cast
+    names = base.selectExpr("lpad(doc_id, 3, '0') as doc_id", "text")
+    assert {(r.rank, int(r.doc_id), r.score) for r in top_k(q, names).collect()} == want
+    raw = names.selectExpr("cast(doc_id as binary) as doc_id", "text")
+    assert {(r.rank, int(bytes(r.doc_id)), r.score) for r in top_k(q, raw).collect()} == want
