@@ -16,58 +16,86 @@ WORD = re.compile(r"\w+")
 BITS = 128
 #: A word weighs as much as it has letters but one, LIGHT to HEAVY; a pair of neighbouring words weighs PAIR.
 LIGHT, HEAVY, PAIR = 1, 6, 1
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: In a key the number of (segment, bit) is above this bit; segments are at most 32 bits wide.
 TAG = 48
 
 
-class _Hashes(dict):
-    """MD5 of words as two 64-bit numbers, and their lengths, kept from text to text."""
+class _Digests(dict):
+    """MD5 of words, kept from text to text."""
 
-    def __missing__(self, w: str) -> tuple[int, int, int]:
+    def __missing__(self, w: str) -> bytes:
         if len(self) > 300_000:
             self.clear()
-        d = md5(w.encode()).digest()
-        self[w] = got = (int.from_bytes(d[:8]), int.from_bytes(d[8:]), len(w))
+        self[w] = got = md5(w.encode()).digest()
         return got
 
 
-_hashes = _Hashes()
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first met."""
 
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self)
+        return n
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes as two 64-bit numbers, weights) of a text's distinct words and distinct pairs of neighbours, whatever its length.
+
+_digests = _Digests()
+#: Words of the texts whose features are held at a time, about; texts are whole.
+HELD_WORDS = 100_000
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
+def text_features(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of text, hash as two 64-bit numbers, weight) of the distinct words and distinct pairs of neighbours of texts of any length, given as words.
 
     Longer words are rarer ones and weigh more, so that a language's common words don't make its texts alike. A pair's hash is its first word's, each
     half turned by a bit, against its second word's.
     """
-    words = WORD.findall(text.lower())
-    if not words:
-        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    rows = [_hashes[w] for w in distinct]
-    h = np.array([r[:2] for r in rows], np.uint64)
-    at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-    pair = np.unique(at[:-1] * len(rows) + at[1:])
-    first, second = h[pair // len(rows)], h[pair % len(rows)]
-    pairs = ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
-    weight = np.clip([r[2] - 1 for r in rows], LIGHT, HEAVY)
-    return np.concatenate([h, pairs]), np.concatenate([weight, np.full(len(pair), PAIR)])
+    numbers = _Numbers()
+    word = np.concatenate([np.fromiter(map(numbers.__getitem__, t), np.int64, len(t)) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    h = np.frombuffer(b"".join(map(_digests.__getitem__, numbers)), ">u8").astype(np.uint64).reshape(-1, 2)
+    weight = np.clip(np.fromiter(map(len, numbers), np.int64, len(numbers)) - 1, LIGHT, HEAVY)
+    some = len(numbers) + 1
+    alone = _distinct(owner * some + word)
+    inside = owner[1:] == owner[:-1]
+    pair = _distinct((owner[:-1] * some + word[:-1])[inside] * some + word[1:][inside])
+    first, second = h[pair // some % some], h[pair % some]
+    hashes = np.concatenate([h[alone % some], ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second])
+    return np.concatenate([alone // some, pair // some // some]), hashes, np.concatenate([weight[alone % some], np.full(len(pair), PAIR)])
 
 
 def signatures(texts: list[str | None]) -> list[tuple[int, int] | None]:
     """128-bit SimHash of each text as two signed 64-bit numbers; None for a text without a word. A bit is set if features of more than half the weight have it."""
-    out: list[tuple[int, int] | None] = []
-    for t in texts:
-        h, weight = text_features(t) if t else ((), ())
-        if not len(h):
-            out.append(None)
-            continue
-        ones = np.zeros(BITS, np.int64)
-        for k in range(0, len(h), 100_000):  # some megabytes of bits at a time
-            bits = np.unpackbits(h[k : k + 100_000].byteswap().view(np.uint8).reshape(-1, 16), axis=1)
-            ones += np.rint(weight[k : k + 100_000].astype(np.float32) @ bits.astype(np.float32)).astype(np.int64)
-        a, b = np.packbits(2 * ones > weight.sum()).view(">i8").tolist()
-        out.append((a, b))
+    out: list[tuple[int, int] | None] = [None] * len(texts)
+    held: list[list[str]] = []
+    where: list[int] = []
+    size = 0
+
+    def work() -> None:
+        owner, hashes, weight = text_features(held)
+        ones = np.empty((len(held), BITS), np.int64)
+        for j in range(BITS // 8):  # the weight of each value of a byte, then of each bit of it
+            byte = (hashes[:, j // 8] >> np.uint64(56 - 8 * (j % 8))).astype(np.int64) & 255
+            values = np.bincount(owner * 256 + byte, weight, len(held) * 256).reshape(-1, 256)
+            ones[:, 8 * j : 8 * j + 8] = np.rint(values @ BYTE_BITS)
+        sums = np.bincount(owner, weight, len(held))
+        for i, (a, b) in zip(where, np.packbits(2 * ones > sums[:, None], axis=1).view(">i8").tolist()):
+            out[i] = (a, b)
+
+    for i, t in enumerate(texts):
+        words = WORD.findall(t.lower()) if t else []
+        if words:
+            held.append(words)
+            where.append(i)
+            size += len(words)
+        if held and (size >= HELD_WORDS or i == len(texts) - 1):
+            work()
+            held, where, size = [], [], 0
     return out
 
 
