@@ -19,6 +19,8 @@ from .common import Shelf, free_name
 MALE = "Mr|Herrn|Herr|Monsieur|Señor|Sr|Don|Signor|господин|Господин|κύριος|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Doña|Signora|госпожа|Госпожа|κυρία|Κυρία"
 NEUTRAL = "Dr|Prof|Mx"
+#: A name follows these, too.
+INTRODUCING = "[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Mm]i chiamo|[Мм]еня зовут|[Μμ]ε λένε"
 GIVEN = {
     "m": "James John Robert Michael William David Richard Thomas Charles Daniel Paul Mark George Peter Hans Klaus Jürgen Stefan Wolfgang Pierre Jean Jacques Michel Luc Antoine José Juan Carlos Luis Miguel Javier Antonio Ivan Sergei Dmitri Иван Сергей Дмитрий Алексей Николай Андрей Γιώργος Νίκος Δημήτρης Κώστας".split(),
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emma Olivia Anna Petra Sabine Ursula Monika Heike Marie Sophie Camille Chloé Nathalie Isabelle María Carmen Lucía Ana Isabel Elena Анна Мария Елена Ольга Наталья Татьяна Μαρία Ελένη Κατερίνα Σοφία".split(),
@@ -26,7 +28,7 @@ GIVEN = {
 _GENDER = {n.lower(): g for g, names in GIVEN.items() for n in names}
 _NAME = r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _POSSESSIVE = re.compile(r"['’][sS]$")
-_TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})"
+_TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL}|{INTRODUCING})"
 
 ENTITY = re.compile(
     r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
@@ -93,7 +95,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         canon = digits if kind in ("card", "phone", "ssn") else s.replace(" ", "") if kind == "iban" else s.lower() if kind == "email" else s
         if drawable(kind, canon):
             out.append((a, b, kind, canon))
-    return mentions(text, out)
+    return mentions(text, one_gender(out))
+
+
+def one_gender(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found, with each given name of unknown gender given the one that it has elsewhere in the text, if that is one only: Dr. Kim Lee and Mrs. Kim Lee are one person."""
+    known: dict[str, set[str]] = {}
+    for _, _, kind, canon in found:
+        if kind in ("given_m", "given_f"):
+            known.setdefault(canon, set()).add(kind)
+    return [(a, b, next(iter(known[canon])) if kind == "given_n" and len(known.get(canon, ())) == 1 else kind, canon) for a, b, kind, canon in found]
 
 
 def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -166,13 +177,13 @@ class Draw:
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form of what stands for an entity; a later attempt gives another one."""
     d = Draw(key, kind, canon, attempt)
-    longer = lambda: "".join(d.like("a") for _ in range(attempt // 8))  # noqa: E731  where so few characters can be drawn that all their values are taken
+    longer = lambda c="a": "".join(d.like(c) for _ in range(attempt // 8))  # noqa: E731  where so few characters can be drawn that all their values are taken
     if kind.startswith("given") or kind == "family":
         parts, fem, masc = SYLLABLES[script_of(canon)]
         word = "".join(parts[d.below(len(parts))] for _ in range(3 + attempt // 2))
         return word + (fem if kind == "given_f" else masc if kind == "given_m" else "")
     if kind in ("card", "phone", "ssn"):
-        s = canon[0] + "".join(d.like("0") for _ in canon[1:])
+        s = canon[0] + "".join(d.like("0") for _ in canon[1:]) + longer("0")
         if kind == "card":
             good = luhn(canon)
             s = next(x for x in (s[:-1] + str((int(s[-1]) + k) % 10) for k in range(10)) if luhn(x) == good)
@@ -180,16 +191,18 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "ip":
         first = int(canon.split(".")[0])
         kept = {10: [10], 127: [127], 192: [192, 168]}.get(first, []) if first != 192 or canon.startswith("192.168.") else []
+        if attempt >= 8:  # the network may be full: then all private and reserved ones, and at last more parts than an address has
+            kept = [[10], [127], [240 + d.below(15)]][attempt % 3]
         own = [1 + d.below(223)] if not kept else kept
         while own[0] in (10, 127, 192) and not kept:
             own = [1 + d.below(223)]
-        return ".".join(map(str, own + [1 + d.below(254) for _ in range(4 - len(own))]))
+        return ".".join(map(str, own + [1 + d.below(254) for _ in range(4 - len(own) + max(0, attempt // 8 - 2))]))
     if kind == "email":
         local, _, domain = canon.partition("@")
         host, _, top = domain.rpartition(".")
         return "".join(map(d.like, local)) + longer() + "@" + "".join(map(d.like, host)) + "." + top
     if kind == "iban":
-        body = "".join(map(d.like, canon[4:]))
+        body = "".join(map(d.like, canon[4:])) + longer()
         number = "".join(str(int(c, 36)) for c in body + canon[:2])
         return canon[:2] + f"{98 - int(number + '00') % 97:02d}" + body
     head = _HEAD.match(canon).group()
@@ -207,17 +220,32 @@ def pour(original: str, kind: str, new: str) -> str:
         return new.upper() if len(original) > 1 and original.isupper() else new.title() if original[0].isupper() else new
     if kind in ("card", "phone", "ssn"):
         it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in original)
+        return "".join([*(next(it) if c.isdigit() else c for c in original), *it])
     if kind == "iban":
         it = iter(new)
-        return "".join(" " if c == " " else next(it) for c in original)
+        return "".join([*(" " if c == " " else next(it) for c in original), *it])
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) if len(original) == len(new) else new
     return new
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None, memo: dict | None = None) -> tuple[str, int]:
-    """text with surrogates, and their number. attempts: of entities whose first surrogate was taken."""
+def mark(key: bytes, kind: str, canon: str) -> str:
+    """What stands for an entity in a table that outlives the rounds: it tells nothing without the key."""
+    return hmac.digest(key, f"mark|{kind}|{canon}".encode(), hashlib.sha256)[:16].hex()
+
+
+class Attempts:
+    """Attempts by entity, from rows that have marks."""
+
+    def __init__(self, key: bytes, rows: list[dict]):
+        self.key, self.by = key, {r["mark"]: r["attempt"] for r in rows}
+
+    def get(self, entity: tuple[str, str], default: int) -> int:
+        return self.by.get(mark(self.key, *entity), default)
+
+
+def replace(text: str, key: bytes, attempts=None) -> tuple[str, int]:
+    """text with surrogates, and their number. attempts: of entities (kind, canonical form) whose first surrogate was taken."""
     found, parts, last = find(text), [], 0
     for a, b, kind, canon in found:
         n = attempts.get((kind, canon), 0) if attempts else 0
@@ -230,14 +258,16 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
     """docs with each entity in the text replaced, and the number of replacements in ``count_col``.
 
     Kinds: e-mail and IP addresses, phone, card, social-security and bank-account numbers, access keys and assigned secrets, names after a
-    title or a common given name, and the parts of these names wherever else in the document they stand capitalised. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters of the same script and case, a card
+    title, a common given name or words that introduce one (my name is ...), and the parts of these names wherever else in the document they stand capitalised. A surrogate is drawn from HMAC-SHA256(key, kind, canonical form): digits for digits, letters for letters of the same script and case, a card
     number stays Luhn-valid or invalid, an account number gets its check digits, given names keep their gender, names their script, and each mention its
     letter case and separators. Mentions of one canonical form get one surrogate all over the corpus. Names are replaced by part, so that a later mention of the family name alone agrees.
 
     Distinctness: all entities are gathered as a distinct table; a surrogate that two of them share stays with one, and none may
     equal an entity that occurs; others are drawn again, in rounds written to the shared folder, until there is no collision. Only entities drawn
     again need a table: they are joined to the texts that have them by the text's MD5, by broadcast only if Spark finds them small, and all others are
-    recomputed from the key. Without any, the texts aren't shuffled.
+    recomputed from the key. Without any, the texts aren't shuffled. The rounds end: from the eighth attempt on the places grow, of numbers and secrets by a character every eight
+    attempts, of addresses to other private and reserved networks and then by parts. Tables with entities in clear are deleted before the result is returned; what it still reads has keyed marks.
+    A given name under several titles has one gender in a document, if but one is told.
 
     Defined cases: a secret or address of symbols only, as a mask of asterisks, is no entity and stays; null text - null and 0; empty text - empty and 0; identifiers play no part, so null or repeated ones change nothing; no rows - no rows; where
     docs has a column named ``count_col``, underscores are appended.
@@ -253,6 +283,10 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
 
     seen = shelf.put(docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(gather, "kind string, canon string, text_md5 string"))
 
+    @F.pandas_udf("string")
+    def marked(kind, canon):
+        return kind.combine(canon, lambda a, b: mark(secret, a, b))
+
     @F.pandas_udf("string")
     def drawn(kind, canon, attempt):
         return kind.combine(canon, lambda a, b: (a, b)).combine(attempt, lambda x, n: surrogate(secret, x[0], x[1], int(n)))
@@ -265,13 +299,15 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
         taken = state.join(real.withColumn("is_real", F.lit(True)), "new", "left").withColumn("clash", (F.row_number().over(order) > 1) | F.coalesce("is_real", F.lit(False)))
         clashes = shelf.put(taken.where("clash").select("kind", "canon", "attempt"))
         if not clashes.count():
+            shelf.drop(clashes)
             break
         again = clashes.withColumn("attempt", F.col("attempt") + 1).withColumn("new", drawn("kind", "canon", "attempt"))
         after = shelf.put(state.join(clashes.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(again))
-        shelf.drop(state)
+        shelf.drop(state, clashes)
         state = after
-    moved = seen.join(state.where("attempt > 0").select("kind", "canon", "attempt"), ["kind", "canon"]).groupBy("text_md5").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("moved"))
+    moved = seen.join(state.where("attempt > 0").select("kind", "canon", "attempt"), ["kind", "canon"]).select("text_md5", "attempt", marked("kind", "canon").alias("mark")).groupBy("text_md5").agg(F.collect_list(F.struct("mark", "attempt")).alias("moved"))
     moved = shelf.put(moved)
+    shelf.drop(seen, state)
     count = free_name(docs, count_col)
     rows = docs
     at = docs.columns.index(text_col)
@@ -280,14 +316,14 @@ def surrogates(docs: DataFrame, key: str = "resonara", id_col: str = "doc_id", t
         extra = True
         held = free_name(docs, "moved")
         rows = docs.withColumn(free_name(docs, "text_md5"), F.md5(F.col(f"`{text_col}`")))
-        mark = rows.columns[-1]
-        rows = rows.join(moved.withColumnsRenamed({"text_md5": mark, "moved": held}), mark, "left").select(*[rows[f"`{c}`"] for c in docs.columns], F.col(held))
+        digest = rows.columns[-1]
+        rows = rows.join(moved.withColumnsRenamed({"text_md5": digest, "moved": held}), digest, "left").select(*[rows[f"`{c}`"] for c in docs.columns], F.col(held))
     fields = T.StructType([*docs.schema.fields, T.StructField(count, T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             own = batch.column(batch.num_columns - 1).to_pylist() if extra else [None] * batch.num_rows
-            done = [(t, 0) if not t else replace(t, secret, {(x["kind"], x["canon"]): x["attempt"] for x in m} if m else None) for t, m in zip(batch.column(at).to_pylist(), own)]
+            done = [(t, 0) if not t else replace(t, secret, Attempts(secret, m) if m else None) for t, m in zip(batch.column(at).to_pylist(), own)]
             cols = list(batch.columns[: len(docs_columns)])
             cols[at] = pa.array([t for t, _ in done], pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.int32())], names=fields.names)

@@ -1,7 +1,7 @@
 import re
 import unicodedata
 
-from resonara.llm.pii import find, luhn, pour, replace, script_of, surrogate, surrogates
+from resonara.llm.pii import Attempts, find, luhn, mark, pour, replace, script_of, surrogate, surrogates
 
 KEY = b"k"
 
@@ -135,3 +135,54 @@ def test_later_mentions_without_title_get_the_same_surrogates():
     dog = re.search(r"Mrs\. (\w+)'s dog bit (\w+)\.", got)
     assert dog[1] == dog[2] and got.endswith("said I know.")
     assert sorted(find(text)) == find(text) and all(a[1] <= b[0] for a, b in zip(find(text), find(text)[1:]))
+
+
+def brute(texts, key):
+    """Texts with surrogates, by rounds over a dictionary of all entities."""
+    real = {c for t in texts if t for _, _, _, c in find(t)}
+    attempt = {(k, c): 0 for t in texts if t for _, _, k, c in find(t)}
+    rounds = 0
+    while True:
+        holders = {}
+        for e in sorted(attempt, key=lambda e: (attempt[e], e)):
+            holders.setdefault(surrogate(key, *e, attempt[e]), []).append(e)
+        clash = [e for new, own in holders.items() for e in (own if new in real else own[1:])]
+        if not clash:
+            return [replace(t, key, attempt) if t else (t, 0) for t in texts], rounds
+        for e in clash:
+            attempt[e] += 1
+        rounds += 1
+
+
+def test_whole_operator_against_brute_force(spark):
+    texts = [f"192.168.{1 + i // 250}.{1 + i % 250} or Mr. John Smith{'abc'[i % 3]}, call 555 {1000 + i}" for i in range(1500)]
+    texts += [f"pin: password=*****{k} {k}@mail.example.com" for k in range(10)] + ["", None, "Dr. Kim Lee and Mrs. Kim Lee. My name is Ali Hassan; Hassan said so. +7 999 1234567"] * 2 + ["x " * 50_000 + "secret=пароль 4111 1111 1111 1111"]
+    got = {r.doc_id: (r.text, r.n_surrogates) for r in surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    want, rounds = brute(texts, b"resonara")
+    assert rounds > 1 and [got[i] for i in range(len(texts))] == want
+
+
+def test_full_places_end(spark):
+    """All 1,000,000 phone numbers of a form could not stay in it; here all ten values of a digit and all places of a small network are tried for."""
+    seen = {surrogate(KEY, "ip", "192.168.3.4", n) for n in range(200)}
+    assert len(seen) > 190 and all(s.startswith("192.168.") for s in (surrogate(KEY, "ip", "192.168.3.4", n) for n in range(8)))
+    for kind, canon in (("phone", "5551234"), ("ssn", "123456789"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("secret", "*1"), ("email", "1@1.de")):
+        short, longer = surrogate(KEY, kind, canon, 3), surrogate(KEY, kind, canon, 19)
+        assert len(longer) == len(short) + 2, kind
+        assert pour(canon, kind, longer).replace("@", "").replace(".", "").isalnum() or kind == "secret"
+    assert luhn(surrogate(KEY, "card", "4111111111111111", 20))
+
+
+def test_one_person_under_several_titles_and_introductions():
+    words = re.findall(r"\w+", one("Dr. Kim Lee met Mrs. Kim Lee."))
+    assert words[1:3] == words[5:7] and words[1].endswith("a")
+    both = re.findall(r"\w+", one("Mr. Kim Lee met Mrs. Kim Lee, Dr. Kim Lee."))
+    assert both[1] != both[5]
+    text = one("Hello, my name is Ali Hassan. Hassan wrote.")
+    assert "Hassan" not in text and "Ali" not in text and text.startswith("Hello, my name is ")
+    assert find("my name is what I said") == []
+
+
+def test_marks_need_the_key_and_clear_tables_go(spark, tmp_path):
+    assert mark(b"a", "ip", "10.1.1.1") != mark(b"b", "ip", "10.1.1.1")
+    assert Attempts(b"a", [{"mark": mark(b"a", "ip", "1.1.1.1"), "attempt": 3}]).get(("ip", "1.1.1.1"), 0) == 3
