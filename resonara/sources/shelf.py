@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -29,12 +30,34 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[sc.applicationId]
 
 
+#: Folders of the shelves made within ``passing``, innermost last.
+_passing: list[list[str]] = []
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """What operators write to the shared folder within this block is deleted at its end: use their results before."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_passing.pop())
+
+
 class Shelf:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _passing:
+            _passing[-1].append(self.base)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table; its path is in ``df.shelf_path``."""
@@ -48,7 +71,4 @@ class Shelf:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.shelf_path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete(self.spark, *(t.shelf_path for t in tables))
