@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shelf import Shelf, shared_folder
+from ..sources.shelf import Shelf, delete, passing, shared_folder
 
-__all__ = ["Shelf", "before", "free_name", "numbered", "packed", "shared_folder", "table"]
+__all__ = ["Shelf", "before", "delete", "free_name", "numbered", "packed", "passing", "shared_folder", "table"]
 
 
 def packed(df: DataFrame, *computed, name: str = "r") -> DataFrame:
