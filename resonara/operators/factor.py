@@ -9,15 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import seeded_uniform
 from .pitch import analyze_pitch
-from .spectral import cells, hpss_masks, reconstruct, stft, stream_ranks
+from .spectral import hpss_frames, reconstruct, stft, stream_ranks
 
 EPS = 1e-12
 
 
 def uniforms(seed: int, n: int) -> np.ndarray:
-    """The first n draws of the generator of ``seeded_uniform``."""
+    """The first n draws of the generator of ``scalars.seeded_uniform``."""
     u32 = np.uint32
     with np.errstate(over="ignore"):
         a = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5) + np.uint64(seed)).astype(u32)
@@ -63,16 +62,6 @@ def cluster(w: np.ndarray, h: np.ndarray, merge: float = 0.85, least: float = 0.
     return groups
 
 
-def start_values(cell_rows: DataFrame, rank: int, seed: int, key: str = "k") -> tuple[DataFrame, DataFrame]:
-    """(b, k, x) and (k, t, x): the seeded starts of W and H for the bins and frames in cell_rows."""
-    ks = F.explode(F.sequence(F.lit(0), F.lit(rank - 1))).alias(key)
-    size = cell_rows.agg((F.max("b") + 1).alias("nb"), (F.max("t") + 1).alias("nt"))
-    value = lambda at: F.lit(0.9) * seeded_uniform(seed, at) + F.lit(0.1)
-    w = size.select("nb", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))).alias("b")).select("b", ks).select("b", key, value(F.col("b") * rank + F.col(key)).alias("x"))
-    h = size.select("nb", "nt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nt") - 1)).alias("t")).select("*", ks).select(key, "t", value(F.col("nb") * rank + F.col(key) * F.col("nt") + F.col("t")).alias("x"))
-    return w, h
-
-
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     """Bins x frames from rows (t, v array)."""
     return np.stack(pdf.sort_values("t")["v"].to_numpy()).astype(float).T
@@ -181,19 +170,19 @@ def separate(signal: DataFrame, rate: float, n_fft: int = 2048, hop: int = 512,
     """Components and their samples of each track of (track, ch, i, x), see ``render_components``.
 
     Masks come from the mean of the channels and are laid on each channel. A count fixes a stream's components; None lets shares and
-    clustering decide. ``keep`` is applied to what is used more than once, the stream masks, the component masks and the rendered
-    samples: a function that writes a table and returns it has each of them computed once.
+    clustering decide. ``keep`` is applied to what is used more than once, the stream masks and the rendered samples: a function
+    that writes a table and returns it has each of them computed once.
     """
     from .arrange import downmix
 
     mono = downmix(signal).select("track", F.lit(0).alias("ch"), "i", "x")
-    masked = keep(hpss_masks(cells(stft(mono, n_fft, hop)).select("track", "t", "b", "mag")))
+    masked = keep(hpss_frames(stft(mono, n_fft, hop).select("track", "t", F.zip_with("re", "im", F.hypot).alias("mag"))))
     ranks = stream_ranks(masked, percussive, harmonic)
     streams = []
     for kind, seed, given in (("percussive", seeds[0], percussive), ("harmonic", seeds[1], harmonic)):
-        rows = masked.groupBy("track", "t").agg(F.sort_array(F.collect_list(F.struct("b", (F.col("mag") * F.col(kind)).alias("v"), F.col(kind).alias("m")))).alias("z"))
+        rows = masked.select("track", "t", F.zip_with("mag", kind, lambda m, w: m * w).alias("v"), F.col(kind).alias("stream_mask"))
         rank = ranks.select("track", F.col(f"k_{kind}").alias("rank")).where("rank > 0")
-        streams.append(component_masks(rows.join(rank, "track").select("track", F.lit(kind).alias("stream"), F.lit(seed).alias("seed"), "rank", "t", F.col("z.v").alias("v"), F.col("z.m").alias("stream_mask")), iterations, given is None))
+        streams.append(component_masks(rows.join(rank, "track").select("track", F.lit(kind).alias("stream"), F.lit(seed).alias("seed"), "rank", "t", "v", "stream_mask"), iterations, given is None))
     masks = streams[0].unionByName(streams[1]).withColumnRenamed("stream", "kind")
     return render_components(stft(signal, n_fft, hop), masks, mono, rate, n_fft, hop, loop, keep)
 

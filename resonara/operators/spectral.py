@@ -134,25 +134,68 @@ def running_median(value: str, order: str, half: int, by: list[str]) -> Column:
     return F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half))
 
 
+def medians(x: np.ndarray, half: int) -> np.ndarray:
+    """Median of each row of x with the ``half`` rows before and after it, as far as there are any."""
+    n = len(x)
+    out = np.empty_like(x)
+    if n > 2 * half:
+        out[half : n - half] = np.partition(np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1, axis=0), half, axis=-1)[..., half]
+    for i in (*range(min(half, n)), *range(max(half, n - half), n)):
+        out[i] = np.median(x[max(0, i - half) : i + half + 1], axis=0)
+    return out
+
+
+def hpss_frames(frames: DataFrame, win_t: int = 17, win_f: int = 17, power: float = 2.0, by: tuple[str, ...] = ("track",), block: int = 256) -> DataFrame:
+    """(by, t, mag, harmonic, percussive arrays) from frames (by, t, mag array), t without gaps; see ``hpss_masks``.
+
+    One exchange, of frames: a block is ``block`` frames and half a window on either side, so no task holds more of a signal.
+    """
+    half, nk = win_t // 2, len(by)
+    first = F.greatest(F.lit(0), F.floor((F.col("t") - half) / block)).cast("bigint")
+    cut = frames.select(*by, "t", "mag", F.explode(F.sequence(first, F.floor((F.col("t") + half) / block).cast("bigint"))).alias("block"))
+    blocks = cut.groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("t", "mag"))).alias("frames"))
+    kinds = dict(frames.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                got = batch.column(nk + 1)[r].values
+                t = got.field(0).to_numpy()
+                mag = got.field(1).flatten().to_numpy().reshape(len(t), -1)
+                own = t // block == batch.column(nk)[r].as_py()
+                if not own.any():
+                    continue
+                h, p = medians(mag, half)[own] ** power, medians(mag[own].T, win_f // 2).T ** power
+                den = h + p + 1e-12
+                keys = [pa.array([batch.column(c)[r].as_py()] * int(own.sum()), batch.schema.field(c).type) for c in range(nk)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(t[own]), *(lists(np.ascontiguousarray(m)) for m in (mag[own], h / den, p / den))], names=[*by, "t", "mag", "harmonic", "percussive"])
+
+    return blocks.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", t bigint, mag array<double>, harmonic array<double>, percussive array<double>")
+
+
 def hpss_masks(cell_rows: DataFrame, win_t: int = 17, win_f: int = 17, power: float = 2.0, by: tuple[str, ...] = ("track",)) -> DataFrame:
-    """cell_rows (by, t, b, mag) with soft masks ``harmonic`` and ``percussive`` from medians along time and along frequency.
+    """(by, t, b, mag, harmonic, percussive): cells (by, t, b, mag), every bin of every frame, with soft masks from medians along time and along frequency.
 
     Both are 0 where both medians are.
     """
-    med = cell_rows.withColumn("h", running_median("mag", "t", win_t // 2, [*by, "b"])).withColumn("p", running_median("mag", "b", win_f // 2, [*by, "t"]))
-    hp, pp = F.pow("h", F.lit(power)), F.pow("p", F.lit(power))
-    den = hp + pp + F.lit(1e-12)
-    return med.withColumn("harmonic", hp / den).withColumn("percussive", pp / den).drop("h", "p")
+    packed = cell_rows.groupBy(*by, F.col("t").cast("bigint").alias("t")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", F.col("mag").cast("double").alias("mag")))), lambda z: z["mag"]).alias("mag"))
+    made = hpss_frames(packed, win_t, win_f, power, by)
+    return made.select(*by, "t", F.posexplode(F.arrays_zip("mag", "harmonic", "percussive")).alias("b", "z")).select(*by, "t", "b", "z.mag", "z.harmonic", "z.percussive")
 
 
 def stream_ranks(masked: DataFrame, percussive: int | None = None, harmonic: int | None = None, presence: float = 0.04, most: int = 2) -> DataFrame:
-    """(track, percussive_share, harmonic_share, k_percussive, k_harmonic): how many components each stream gets.
+    """(track, percussive_share, harmonic_share, k_percussive, k_harmonic): how many components each stream gets; of cells, or of frames with arrays.
 
     A share is of the summed magnitude, 0 for silence. A count fixes the rank; None leaves it to the share: none below ``presence``,
     else ``most``. If both are left to it and come to none, the larger share gets one, on a tie the percussive.
     """
-    total = F.sum("mag")
-    share = lambda c: F.when(total > 0, F.sum(F.col("mag") * F.col(c)) / total).otherwise(0.0)
+    if dict(masked.dtypes)["mag"].startswith("array"):
+        fold = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+        size, part = fold("mag"), lambda c: fold(F.zip_with("mag", c, lambda m, w: m * w))
+    else:
+        size, part = F.col("mag"), lambda c: F.col("mag") * F.col(c)
+    total = F.sum(size)
+    share = lambda c: F.when(total > 0, F.sum(part(c)) / total).otherwise(0.0)
     shares = masked.groupBy("track").agg(share("percussive").alias("percussive_share"), share("harmonic").alias("harmonic_share"))
     rank = lambda given, c: F.lit(max(0, given)) if given is not None else F.when(F.col(c) < presence, 0).otherwise(most)
     ranked = shares.withColumn("kp", rank(percussive, "percussive_share")).withColumn("kh", rank(harmonic, "harmonic_share"))

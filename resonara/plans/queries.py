@@ -143,6 +143,24 @@ def cluster_components(spark, d):
     return factor.pair_groups(*_fit(spark, d), merge=0.9)
 
 
+def grouped_masks(spark, d):
+    """Three components a track and the groups that they come to."""
+    rows = spectral.stft(mono(spark, d), N, HOP).select("track", F.lit("all").alias("stream"), F.lit(1).alias("seed"), F.lit(3).alias("rank"), "t", F.zip_with("re", "im", F.hypot).alias("v"))
+    made = factor.component_masks(rows.withColumn("stream_mask", F.transform("v", lambda _: F.lit(1.0))), iterations=3)
+    return tidy(made.select("track", "part", "t", F.posexplode("mask").alias("b", "mask")), "mask")
+
+
+def separate_five(spark, d):
+    """All of ``separate``, two transient and three steady parts, at three iterations, so that SQL can follow."""
+    _, samples = factor.separate(hours(spark, d), 48.0, N, HOP, 3, 2, 3, keep=Shelf(spark, "separate").put)
+    return tidy(samples, "x", digits=4)
+
+
+def split_three(spark, d):
+    _, samples = factor.split(hours(spark, d).where("ch = 0"), "harmonic", 3, 48.0, N, HOP, 3, keep=Shelf(spark, "split").put)
+    return tidy(samples, "x", digits=4)
+
+
 def separate_stems(spark, d):
     """No SQL: 80 iterations. Tests hold the sum of the parts against the input."""
     made, _ = factor.separate(hours(spark, d), 48.0, N, HOP, keep=Shelf(spark, "separate").put)

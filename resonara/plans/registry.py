@@ -12,7 +12,7 @@ NAMES = """
 downmix_mono crop_channels crop_mono loop_trim rms_energy pcm16 wav_bytes
 hann_frames fft_bins stft_magnitude istft_roundtrip masked_reconstruct
 median_filter hpss_masks stream_ranks
-prng_draws nmf_basis nmf_activations component_masks basis_cosines component_shares cluster_components separate_stems split_stem
+prng_draws nmf_basis nmf_activations component_masks basis_cosines component_shares cluster_components grouped_masks separate_five split_three separate_stems split_stem
 onset_envelope tempo_lag_scores best_lag beat_phase downbeat analyze_tempo snap_to_bars
 chroma tonality key_correlation detect_key label_pitch
 perc_descriptor cosine_matrix greedy_match unpaired semitone_distance

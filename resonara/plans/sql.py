@@ -86,32 +86,47 @@ def prng(seed: int, n: str) -> str:
     return f"(xor({t2}, {t2} >> 14)::DOUBLE / 4294967296.0::DOUBLE)"
 
 
-def nmf(iterations: int = 3) -> str:
-    """CTEs wN (track, b, k, x) and hN (track, k, t, x) of two components over the cells st."""
+def nmf(iterations: int = 3, rank: int = 2, cells: str = "st", p: str = "", seed: int = 1) -> str:
+    """CTEs wN (track, b, k, x) and hN (track, k, t, x), behind p, of ``rank`` components over the cells."""
     out = f""",
-dim AS (SELECT track, max(b) + 1 AS nb, max(t) + 1 AS nt FROM st GROUP BY 1),
-k2 AS (SELECT unnest([0, 1]) AS k),
-w0 AS MATERIALIZED (SELECT track, b, k, 0.9::DOUBLE * {prng(1, "(b * 2 + k)")} + 0.1::DOUBLE AS x FROM (SELECT track, unnest(range(0, nb)) AS b FROM dim), k2),
-h0 AS MATERIALIZED (SELECT track, k, t, 0.9::DOUBLE * {prng(1, "(nb * 2 + k * nt + t)")} + 0.1::DOUBLE AS x FROM (SELECT track, nb, nt, unnest(range(0, nt)) AS t FROM dim), k2)"""
+{p}dim AS (SELECT track, max(b) + 1 AS nb, max(t) + 1 AS nt FROM {cells} GROUP BY 1),
+{p}ks AS (SELECT unnest({list(range(rank))}) AS k),
+{p}w0 AS MATERIALIZED (SELECT track, b, k, 0.9::DOUBLE * {prng(seed, f"(b * {rank} + k)")} + 0.1::DOUBLE AS x FROM (SELECT track, unnest(range(0, nb)) AS b FROM {p}dim), {p}ks),
+{p}h0 AS MATERIALIZED (SELECT track, k, t, 0.9::DOUBLE * {prng(seed, f"(nb * {rank} + k * nt + t)")} + 0.1::DOUBLE AS x FROM (SELECT track, nb, nt, unnest(range(0, nt)) AS t FROM {p}dim), {p}ks)"""
     for n in range(iterations):
-        for step, (wn, hn) in enumerate(((f"w{n}", f"h{n}"), (f"w{n}", f"h{n + 1}"))):
-            ratio = f"q{n}{step}"
+        for step, (wn, hn) in enumerate(((f"{p}w{n}", f"{p}h{n}"), (f"{p}w{n}", f"{p}h{n + 1}"))):
+            ratio = f"{p}q{n}{step}"
             out += f""",
-{ratio} AS MATERIALIZED (SELECT st.track, st.b, st.t, st.mag / (e.v + 1e-12::DOUBLE) AS q FROM st JOIN
-   (SELECT w.track, w.b, h.t, sum(w.x * h.x) AS v FROM {wn} w JOIN {hn} h ON w.track = h.track AND w.k = h.k GROUP BY ALL) e ON st.track = e.track AND st.b = e.b AND st.t = e.t)"""
+{ratio} AS MATERIALIZED (SELECT v.track, v.b, v.t, v.mag / (e.v + 1e-12::DOUBLE) AS q FROM {cells} v JOIN
+   (SELECT w.track, w.b, h.t, sum(w.x * h.x) AS v FROM {wn} w JOIN {hn} h ON w.track = h.track AND w.k = h.k GROUP BY ALL) e ON v.track = e.track AND v.b = e.b AND v.t = e.t)"""
             if step == 0:
                 out += f""",
-h{n + 1} AS MATERIALIZED (SELECT h.track, h.k, h.t, h.x * u.u / (s.s + 1e-12::DOUBLE) AS x FROM h{n} h
-   JOIN (SELECT w.track, w.k, q.t, sum(w.x * q.q) AS u FROM w{n} w JOIN {ratio} q ON w.track = q.track AND w.b = q.b GROUP BY ALL) u ON h.track = u.track AND h.k = u.k AND h.t = u.t
-   JOIN (SELECT track, k, sum(x) AS s FROM w{n} GROUP BY ALL) s ON h.track = s.track AND h.k = s.k)"""
+{p}h{n + 1} AS MATERIALIZED (SELECT h.track, h.k, h.t, h.x * u.u / (s.s + 1e-12::DOUBLE) AS x FROM {hn} h
+   JOIN (SELECT w.track, w.k, q.t, sum(w.x * q.q) AS u FROM {wn} w JOIN {ratio} q ON w.track = q.track AND w.b = q.b GROUP BY ALL) u ON h.track = u.track AND h.k = u.k AND h.t = u.t
+   JOIN (SELECT track, k, sum(x) AS s FROM {wn} GROUP BY ALL) s ON h.track = s.track AND h.k = s.k)"""
             else:
                 out += f""",
-w{n + 1} AS MATERIALIZED (SELECT w.track, w.b, w.k, w.x * u.u / (s.s + 1e-12::DOUBLE) AS x FROM w{n} w
-   JOIN (SELECT h.track, h.k, q.b, sum(h.x * q.q) AS u FROM h{n + 1} h JOIN {ratio} q ON h.track = q.track AND h.t = q.t GROUP BY ALL) u ON w.track = u.track AND w.k = u.k AND w.b = u.b
-   JOIN (SELECT track, k, sum(x) AS s FROM h{n + 1} GROUP BY ALL) s ON w.track = s.track AND w.k = s.k)"""
+{p}w{n + 1} AS MATERIALIZED (SELECT w.track, w.b, w.k, w.x * u.u / (s.s + 1e-12::DOUBLE) AS x FROM {wn} w
+   JOIN (SELECT h.track, h.k, q.b, sum(h.x * q.q) AS u FROM {hn} h JOIN {ratio} q ON h.track = q.track AND h.t = q.t GROUP BY ALL) u ON w.track = u.track AND w.k = u.k AND w.b = u.b
+   JOIN (SELECT track, k, sum(x) AS s FROM {hn} GROUP BY ALL) s ON w.track = s.track AND w.k = s.k)"""
     return out
 
 
+def shares_of(rank_masks: str, w: str, h: str, own: str = "1.0::DOUBLE", cells: str = "") -> str:
+    """CTE (track, k, t, b, mask) of each component's part of what all of them make, times ``own`` of the joined cells."""
+    joined = f" JOIN {cells} c ON w.track = c.track AND w.b = c.b AND h.t = c.t" if cells else ""
+    return f""",
+{rank_masks} AS (SELECT track, k, t, b, own * wh / (sum(wh) OVER (PARTITION BY track, t, b) + 1e-12::DOUBLE) AS mask FROM
+   (SELECT w.track, w.k, h.t, w.b, {own} AS own, w.x * h.x AS wh FROM {w} w JOIN {h} h ON w.track = h.track AND w.k = h.k{joined}))"""
+
+
+#: (track, ch, part, i, x) from ola, whose tracks are track#ch#part, and the place of each part by kind, loudness and number.
+PLACED = """,
+pa AS (SELECT split_part(o.track, '#', 1) AS track, split_part(o.track, '#', 2)::INTEGER AS ch, split_part(o.track, '#', 3) AS part, o.i, o.x FROM ola o JOIN size s ON split_part(o.track, '#', 1) = s.track WHERE o.i < s.n),
+pe AS (SELECT track, part, avg(x * x) AS energy FROM pa WHERE ch = 0 GROUP BY ALL),
+pl AS (SELECT track, part, CAST(row_number() OVER (PARTITION BY track ORDER BY part NOT LIKE 'percussive%', energy DESC, part) - 1 AS INTEGER) AS idx FROM pe)"""
+
+
 ST = EV + "," + spectrum("mono", 64, 16)
 FIT = ST + nmf(3)
 COS = """,
@@ -119,10 +134,30 @@ cs AS (SELECT a.track, a.k AS i, b.k AS j, sum(a.x * b.x) / ((sqrt(sum(a.x * a.x
 wt AS (SELECT w.track, w.k, w.s * h.s AS weight FROM (SELECT track, k, sum(x) AS s FROM w3 GROUP BY ALL) w JOIN (SELECT track, k, sum(x) AS s FROM h3 GROUP BY ALL) h ON w.track = h.track AND w.k = h.k),
 sh AS (SELECT track, k, weight / sum(weight) OVER (PARTITION BY track) AS share FROM wt)"""
 
-HPSS = EMB + """,
+#: Of three components: the pair that agrees most, the third with both, then the small ones; l is the first component of each one's group.
+GROUPS3 = COS + """,
+gc AS (SELECT track, max(cosine) FILTER (i = 0 AND j = 1) AS a, max(cosine) FILTER (i = 0 AND j = 2) AS b, max(cosine) FILTER (i = 1 AND j = 2) AS c FROM cs GROUP BY 1),
+gs AS (SELECT track, max(share) FILTER (k = 0) AS s0, max(share) FILTER (k = 1) AS s1, max(share) FILTER (k = 2) AS s2 FROM sh GROUP BY 1),
+gm AS (SELECT *, CASE WHEN greatest(a, b, c) < 0.85 THEN 'none' WHEN a >= b AND a >= c THEN '01' WHEN b >= c THEN '02' ELSE '12' END AS pair, least(s0, s1, s2) AS low FROM gc JOIN gs USING (track)),
+gl AS (SELECT track, CASE pair
+   WHEN '01' THEN CASE WHEN (b + c) / 2 >= 0.85 OR least(s0 + s1, s2) < 0.08 THEN [0, 0, 0] ELSE [0, 0, 2] END
+   WHEN '02' THEN CASE WHEN (a + c) / 2 >= 0.85 OR least(s0 + s2, s1) < 0.08 THEN [0, 0, 0] ELSE [0, 1, 0] END
+   WHEN '12' THEN CASE WHEN (a + b) / 2 >= 0.85 OR least(s1 + s2, s0) < 0.08 THEN [0, 0, 0] ELSE [0, 1, 1] END
+   ELSE CASE WHEN low >= 0.08 THEN [0, 1, 2]
+        WHEN s0 = low THEN CASE WHEN a >= b THEN CASE WHEN least(s0 + s1, s2) < 0.08 THEN [0, 0, 0] ELSE [1, 1, 2] END ELSE CASE WHEN least(s0 + s2, s1) < 0.08 THEN [0, 0, 0] ELSE [2, 1, 2] END END
+        WHEN s1 = low THEN CASE WHEN a >= c THEN CASE WHEN least(s0 + s1, s2) < 0.08 THEN [0, 0, 0] ELSE [0, 0, 2] END ELSE CASE WHEN least(s1 + s2, s0) < 0.08 THEN [0, 0, 0] ELSE [0, 2, 2] END END
+        ELSE CASE WHEN b >= c THEN CASE WHEN least(s0 + s2, s1) < 0.08 THEN [0, 0, 0] ELSE [0, 1, 0] END ELSE CASE WHEN least(s1 + s2, s0) < 0.08 THEN [0, 0, 0] ELSE [0, 1, 1] END END END END AS l FROM gm),
+gk AS (SELECT track, k, dense_rank() OVER (PARTITION BY track ORDER BY l[k + 1]) - 1 AS part FROM gl, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def hpss(cells: str) -> str:
+    return f""",
 md AS (SELECT *, median(mag) OVER (PARTITION BY track, b ORDER BY t ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h,
-              median(mag) OVER (PARTITION BY track, t ORDER BY b ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS p FROM emb),
-hp AS (SELECT track, t, b, mag, h * h / (h * h + p * p + 1e-12::DOUBLE) AS harmonic, p * p / (h * h + p * p + 1e-12::DOUBLE) AS percussive FROM md)"""
+              median(mag) OVER (PARTITION BY track, t ORDER BY b ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS p FROM {cells}),
+hp AS MATERIALIZED (SELECT track, t, b, mag, h * h / (h * h + p * p + 1e-12::DOUBLE) AS harmonic, p * p / (h * h + p * p + 1e-12::DOUBLE) AS percussive FROM md)"""
+
+
+HPSS = EMB + hpss("emb")
 
 ENV = ST + """,
 fl AS (SELECT track, t, sum(greatest(0.0::DOUBLE, coalesce(ln(1 + mag) - ln(1 + before), 0.0::DOUBLE))) AS flux FROM (SELECT *, lag(mag) OVER (PARTITION BY track, b ORDER BY t) AS before FROM st) GROUP BY ALL),
@@ -215,7 +250,16 @@ ALL: dict[str, str] = {
     "component_masks": f"WITH {FIT}, wh AS (SELECT w.track, h.t, w.b, w.k, w.x * h.x AS wh FROM w3 w JOIN h3 h ON w.track = h.track AND w.k = h.k) SELECT track, t, b::INTEGER AS b, k, {r('wh / (sum(wh) OVER (PARTITION BY track, t, b) + 1e-12::DOUBLE)')} AS mask FROM wh",
     "basis_cosines": f"WITH {FIT}{COS} SELECT track, i, j, {r('cosine')} AS cosine FROM cs",
     "component_shares": f"WITH {FIT}{COS} SELECT track, k, {r('share')} AS share FROM sh",
-    "cluster_components": f"WITH {FIT}{COS}, o AS (SELECT cs.track, cosine >= 0.9 OR small < 0.08 AS one FROM cs JOIN (SELECT track, min(share) AS small FROM sh GROUP BY 1) USING (track)) SELECT track, k, CASE WHEN one THEN 0 ELSE k END AS grp FROM o, k2",
+    "cluster_components": f"WITH {FIT}{COS}, o AS (SELECT cs.track, cosine >= 0.9 OR small < 0.08 AS one FROM cs JOIN (SELECT track, min(share) AS small FROM sh GROUP BY 1) USING (track)) SELECT track, k, CASE WHEN one THEN 0 ELSE k END AS grp FROM o, ks",
+    "grouped_masks": f"WITH {ST}{nmf(3, 3)}{GROUPS3}{shares_of('ms', 'w3', 'h3')} SELECT track, part::INTEGER AS part, t, b::INTEGER AS b, {r('sum(mask)')} AS mask FROM ms JOIN gk USING (track, k) GROUP BY track, part, t, b",
+    "split_three": f"""WITH {EV}, e0 AS (SELECT track, i, x FROM ev WHERE ch = 0), {spectrum('e0', 64, 16)}{nmf(3, 3)}{shares_of('ms', 'w3', 'h3')},
+        pm AS (SELECT track || '#0#harmonic:' || k AS track, t, b, re * mask AS re, im * mask AS im FROM st JOIN ms USING (track, t, b)), {inverse('pm', 64, 16)}{PLACED}
+        SELECT track, idx, ch, i, {r('x', 4)} AS x FROM pa JOIN pl USING (track, part)""",
+    "separate_five": f"""WITH {ST}{hpss('st')}, vp AS MATERIALIZED (SELECT track, t, b, mag * percussive AS mag FROM hp), vh AS MATERIALIZED (SELECT track, t, b, mag * harmonic AS mag FROM hp){nmf(3, 2, 'vp', 'p', 1)}{nmf(3, 3, 'vh', 'h', 7)}
+        {shares_of('mp', 'pw3', 'ph3', 'c.percussive', 'hp')}{shares_of('mh', 'hw3', 'hh3', 'c.harmonic', 'hp')},
+        ms AS (SELECT track, t, b, 'percussive:' || k AS part, mask FROM mp UNION ALL SELECT track, t, b, 'harmonic:' || k, mask FROM mh), sc AS (SELECT track || '#' || ch AS track, i, x FROM ev), {spectrum('sc', 64, 16, 'sx')},
+        pm AS (SELECT sx.track || '#' || part AS track, sx.t, sx.b, re * mask AS re, im * mask AS im FROM sx JOIN ms ON split_part(sx.track, '#', 1) = ms.track AND sx.t = ms.t AND sx.b = ms.b), {inverse('pm', 64, 16)}{PLACED}
+        SELECT track, idx, ch, i, {r('x', 4)} AS x FROM pa JOIN pl USING (track, part)""",
     "onset_envelope": f"WITH {ENV} SELECT track, t, {r('env')} AS env FROM env",
     "tempo_lag_scores": f"WITH {LAG} SELECT track, lag::INTEGER AS lag, {r('ac')} AS ac, {r('score')} AS score FROM sc",
     "best_lag": f"WITH {LAG} SELECT track, lag::INTEGER AS lag, {r('confidence')} AS confidence FROM bl",
