@@ -96,11 +96,17 @@ def snap_to_bars(selections: DataFrame, longest: float = 20.0) -> DataFrame:
 
 
 def analyze_tempo(mono: DataFrame, rate: float, n_fft: int = 1024, hop: int = 256, seconds: float = 60.0, longest: float = 20.0, lags: tuple[int, int] | None = None, center: float = 124.0) -> DataFrame:
-    """Tempo, beat grid and suggested crop of each track of (track, ch, i, x); only its first ``seconds`` are framed."""
+    """Tempo, beat grid and suggested crop of each track of (track, ch, i, x); only its first ``seconds`` are framed.
+
+    A track shorter than a frame has no onsets: it gets the shortest lag, without confidence, from its start.
+    """
     clip = mono.where(F.col("i") < math.floor(seconds * rate))
     env = onset_envelope(cells(stft(clip, n_fft, hop)))
     found = best_lag(lag_scores(env, rate / hop, lags, center))
-    phases = beat_phase(env, found)
-    table = tempo_table(found, downbeat(env, found, phases), rate, hop)
+    grid = downbeat(env, found, beat_phase(env, found))
     duration = mono.groupBy("track").agg(((F.max("i") + 1) / F.lit(rate)).alias("duration"))
+    shortest = (lags or lag_bounds(rate / hop))[0]
+    every = duration.join(found.join(grid, "track", "left"), "track", "left").fillna({"lag": shortest, "confidence": 0.0, "first_beat_frame": 0, "first_downbeat_frame": 0})
+    frames = ("first_beat_frame", "first_downbeat_frame")
+    table = tempo_table(every.select("track", "lag", "confidence"), every.select("track", "duration", *frames), rate, hop)
     return suggest_crop(table.join(duration, "track"), F.col("duration"), longest)

@@ -203,7 +203,7 @@ class Composer:
 
 def load(spark, path: str, **params) -> dict[str, Deck]:
     """A deck for each WAV file under path."""
-    rows = wav.read_wav(spark, path).cache()
+    rows = wav.read_wav(spark, path, strict=True).cache()
     rate = wav.same_rate(rows)
     names = [r.track for r in rows.select("track").distinct().collect()]
     signal = wav.to_signal(rows)

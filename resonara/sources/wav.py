@@ -1,24 +1,46 @@
-"""Signals from and to PCM WAV files."""
+"""Signals from and to WAV files."""
 
 from __future__ import annotations
 
 import io
+import struct
+import uuid
 import wave
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pcm16
+from ..functions.scalars import kebab, pcm16
 
 
 def decode(data: bytes) -> tuple[float, np.ndarray]:
-    """(rate, channels x samples in [-1, 1]) of a RIFF file with 8-, 16-, 24- or 32-bit PCM."""
-    with wave.open(io.BytesIO(data)) as w:
-        width, ch, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
+    """(rate, channels x samples in [-1, 1]) of a RIFF file with 8-, 16-, 24- or 32-bit PCM or 32- or 64-bit floats, plain or extensible; a ValueError for others."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("no RIFF WAVE file")
+    form, raw, at = b"", None, 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"fmt ":
+            form = data[at + 8 : at + 8 + size]
+        elif name == b"data":
+            raw = data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    if len(form) < 16 or raw is None:
+        raise ValueError("no format or no data in it")
+    code, ch, rate, _, _, bits = struct.unpack("<HHIIHH", form[:16])
+    if code == 0xFFFE and len(form) >= 26:
+        code = int.from_bytes(form[24:26], "little")
+    width = bits // 8
+    if not ch or (code, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
+        raise ValueError(f"{ch} channels of format {code} with {bits} bits")
+    raw = raw[: len(raw) // (ch * width) * ch * width]
+    if code == 3:
+        x = np.frombuffer(raw, f"<f{width}").astype(float)
+    elif width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     elif width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -28,9 +50,16 @@ def decode(data: bytes) -> tuple[float, np.ndarray]:
     return float(rate), x.reshape(-1, ch).T
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """(track, ch, sample_rate, n, samples array) of every .wav file under path, one row a channel; track is the file's name. Files that aren't PCM are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+def read_wav(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(track, ch, sample_rate, n, samples array) of every .wav or .WAV file under path, one row a channel.
+
+    track is the file's path below ``path``, so files of one name in two folders are two tracks. A file that ``decode`` can't read is
+    left out, or if ``strict`` an error that names it.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString().rstrip("/") + "/"
+    name = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.element_at(F.split("path", "/"), -1))
 
     def run(batches):
         for batch in batches:
@@ -38,12 +67,14 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     rate, x = decode(data)
-                except (wave.Error, EOFError):
+                except ValueError as e:
+                    if strict:
+                        raise ValueError(f"{name}: {e}") from e
                     continue
                 rows += [(name, c, rate, x.shape[1], v) for c, v in enumerate(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["track", "ch", "sample_rate", "n", "samples"])
 
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("track"), "content").mapInArrow(run, "track string, ch int, sample_rate double, n bigint, samples array<double>")
+    return files.select(name.alias("track"), "content").mapInArrow(run, "track string, ch int, sample_rate double, n bigint, samples array<double>")
 
 
 def to_signal(rows: DataFrame) -> DataFrame:
@@ -79,11 +110,21 @@ def wav_bytes(signal: DataFrame, rate: int) -> DataFrame:
 
 
 def write_wav(signal: DataFrame, rate: int, folder: str) -> None:
-    """One .wav file a track in folder, which every executor can reach; tracks' names in lower case, blanks as dashes."""
+    """One .wav file a track in folder, a path or a URI that every executor can reach; tracks' names in lower case, blanks as dashes.
+
+    Files appear whole, so a task that is run again does no harm. Two tracks with one file name are an error.
+    """
+    name = F.concat(kebab(F.regexp_replace("track", "[/\\\\]", "-")), F.lit(".wav"))
+    twice = signal.select("track").distinct().groupBy(name.alias("file")).count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"several tracks would be written to {twice['file']}")
 
     def save(rows):
+        to, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         for r in rows:
-            with open(f"{folder}/{'-'.join(r['track'].lower().split())}.wav", "wb") as f:
+            part = f"{base}/.{uuid.uuid4().hex}"
+            with to.open_output_stream(part) as f:
                 f.write(r["wav"])
+            to.move(part, f"{base}/{r['file']}")
 
-    wav_bytes(signal, rate).foreachPartition(save)
+    wav_bytes(signal, rate).select(name.alias("file"), "wav").foreachPartition(save)

@@ -1,5 +1,7 @@
 """Invariants of the signal operators on synthetic sounds, held against numpy where a kernel is at work."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +188,51 @@ def test_wav_round_trip(spark, tmp_path):
         wav.same_rate(rows.unionByName(rows.withColumn("sample_rate", F.lit(1.0))))
 
 
+def riff(code, bits, ch, raw, tail=b""):
+    form = struct.pack("<HHIIHH", code, ch, 8000, 8000 * ch * bits // 8, ch * bits // 8, bits) + tail
+    return b"RIFF" + struct.pack("<I", 36 + len(tail) + len(raw)) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(raw)) + raw
+
+
+def test_wav_formats(spark, tmp_path):
+    x = np.array([[0.0, 0.25, -0.5, 1.0], [-1.0, 0.125, 0.0, 0.75]])
+    for bits in (32, 64):
+        assert np.array_equal(wav.decode(riff(3, bits, 2, x.T.astype(f"<f{bits // 8}").tobytes()))[1], x)
+    ints = (x.T * 2.0**31).clip(-(2**31), 2**31 - 1).astype("<i4")
+    guid = struct.pack("<HHI", 22, 32, 3) + b"\x01\x00" + bytes(14)
+    assert np.abs(wav.decode(riff(0xFFFE, 32, 2, ints.tobytes(), guid))[1] - x).max() < 1e-6
+    assert np.array_equal(wav.decode(riff(1, 24, 1, b"\x00\x00\x80\x00\x00\x40"))[1], [[-1.0, 0.5]])
+    assert wav.decode(riff(1, 16, 2, b""))[1].shape == (2, 0)
+    for bad in (b"", b"RIFFxxxx", riff(6, 8, 1, b"ab"), riff(1, 16, 0, b"ab")):
+        with pytest.raises(ValueError):
+            wav.decode(bad)
+    (tmp_path / "a").mkdir()
+    for n in ("x.wav", "a/x.WAV"):
+        (tmp_path / n).write_bytes(riff(3, 32, 1, x[0].astype("<f4").tobytes()))
+    assert {(r.track, r.n) for r in wav.read_wav(spark, str(tmp_path), strict=True).collect()} == {("x.wav", 4), ("a/x.WAV", 4)}
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxx")
+    with pytest.raises(Exception, match="bad.wav"):
+        wav.read_wav(spark, str(tmp_path), strict=True).count()
+    with pytest.raises(ValueError, match="several tracks"):
+        wav.write_wav(signal(spark, [0.0], track="My Part").unionByName(signal(spark, [0.0], track="my part")), 8000, str(tmp_path))
+
+
+def test_masks_of_blocks_equal_windows(spark):
+    rng = np.random.default_rng(3)
+    grid = rng.random((45, 12))
+    rows = spark.createDataFrame([("t", t, [float(v) for v in grid[t]]) for t in range(45)], "track string, t long, mag array<double>")
+    med = lambda x: np.array([np.median(x[max(0, k - 8) : k + 9], axis=0) for k in range(len(x))])
+    h, p = med(grid) ** 2, med(grid.T).T ** 2
+    for block in (3, 8, 45, 256):
+        got = spectral.hpss_frames(rows, block=block).orderBy("t").collect()
+        assert [r.t for r in got] == list(range(45))
+        assert np.allclose([r.harmonic for r in got], h / (h + p + 1e-12)) and np.allclose([r.percussive for r in got], p / (h + p + 1e-12))
+
+
+def test_tempo_of_a_track_without_a_frame(spark):
+    r = tempo.analyze_tempo(signal(spark, [0.1] * 100), 8000.0, 512, 128).first()
+    assert (r.confidence, r.first_beat, r.first_downbeat) == (0.0, 0.0, 0.0) and r.bpm == pytest.approx(60 * 62.5 / tempo.lag_bounds(62.5)[0])
+
+
 def test_scalars(spark):
     got = spark.range(1).select(S.format_time(F.lit(125.9)), S.format_time(F.lit(float("nan"))), S.format_time(F.lit(float("inf"))), S.format_time(F.lit(None).cast("double")), S.semitone_distance(F.lit(11), F.lit(0)), S.semitone_distance(F.lit(0), F.lit(6)), S.half_up(F.lit(-2.5)), S.pcm16(F.lit(-2.0)), S.pcm16(F.lit(0.99999)), S.kebab(F.lit("Percussive  1"))).first()
     assert tuple(got) == ("2:05", "0:00", "0:00", "0:00", 1, -6, -2, -32768, 32766, "percussive-1")
