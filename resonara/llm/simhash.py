@@ -19,6 +19,8 @@ LIGHT, HEAVY, PAIR = 1, 6, 1
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: In a key the number of (segment, bit) is above this bit; segments are at most 32 bits wide.
 TAG = 48
+#: No side of a join is broadcast, so that none passes through the driver: Spark takes a table of exploded keys for as small as the one before.
+EXCHANGED = "merge"
 
 
 class _Digests(dict):
@@ -153,7 +155,7 @@ def near_pairs(sigs: DataFrame, segments: int = 6, radius: int = 22) -> DataFram
             bit = bit.when(diff == 1 << k, k)
         tag = F.lit(n * widest) + bit
         first_shared = F.when(F.bit_count(diff) <= 1, tag.cast("bigint")).otherwise(first_shared)
-    return a.join(b, "key").where(less & (distance <= radius)).where(F.shiftrightunsigned("key", TAG) == first_shared).select("a0", "a1", "b0", "b1", distance.alias("distance"))
+    return a.join(b.hint(EXCHANGED), "key").where(less & (distance <= radius)).where(F.shiftrightunsigned("key", TAG) == first_shared).select("a0", "a1", "b0", "b1", distance.alias("distance"))
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
@@ -167,9 +169,9 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint(EXCHANGED), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(low.hint(EXCHANGED), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = shelf.put(small)
         sums = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         shelf.drop(state)
@@ -199,16 +201,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = shelf.put(owned.groupBy("s0", "s1").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     pairs = shelf.put(near_pairs(nodes.select("s0", "s1"), segments, radius))
     # a node goes by its least identifier
-    a = pairs.join(nodes.select(F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("least").alias("u")), ["a0", "a1"])
-    edges = a.join(nodes.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.col("least").alias("v")), ["b0", "b1"]).select("u", "v")
+    a = pairs.join(nodes.select(F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("least").alias("u")).hint(EXCHANGED), ["a0", "a1"])
+    edges = a.join(nodes.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.col("least").alias("v")).hint(EXCHANGED), ["b0", "b1"]).select("u", "v")
     roots = components(edges, shelf)
     return _members(owned, nodes, roots, shelf)
 
 
 def _members(owned: DataFrame, nodes: DataFrame, roots: DataFrame, shelf: Shelf) -> DataFrame:
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    small = nodes.join(rooted, nodes["least"] == rooted["node"], "left").where("root is not null or n > 1").select("s0", "s1", F.coalesce("root", "least").alias("group_id"))
-    return owned.join(small, ["s0", "s1"]).groupBy(F.col("id").alias("doc_id")).agg(F.min("group_id").alias("group_id"))
+    small = nodes.join(rooted.hint(EXCHANGED), nodes["least"] == rooted["node"], "left").where("root is not null or n > 1").select("s0", "s1", F.coalesce("root", "least").alias("group_id"))
+    return owned.join(small.hint(EXCHANGED), ["s0", "s1"]).groupBy(F.col("id").alias("doc_id")).agg(F.min("group_id").alias("group_id"))
 
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:

@@ -104,3 +104,22 @@ def test_signature_against_plain_arithmetic():
         want = sum((2 * sum(w for x, w in feats if x >> k & 1) > sum(w for _, w in feats)) << k for k in range(128))
         a, b = signatures([text])[0]
         assert (a & M) << 64 | b & M == want
+
+
+def test_no_table_of_near_groups_passes_through_the_driver(spark, monkeypatch):
+    plans, put = [], Shelf.put
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df)
+
+    monkeypatch.setattr(Shelf, "put", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        text = " ".join(f"distinctive{i}" for i in range(40))
+        rows = near_groups(spark.createDataFrame([(1, text), (2, text + " tail"), (3, "other words"), (4, text)], "doc_id long, text string"))
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        assert {(r.doc_id, r.group_id) for r in rows.collect()} == {(1, 1), (2, 1), (4, 1)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
