@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +48,37 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-class _Numbers(dict):
-    """Numbers of words, in the order in which they are first met."""
-
-    def __missing__(self, w: str) -> int:
-        self[w] = n = len(self)
-        return n
+@functools.cache
+def kinds() -> np.ndarray:
+    """Of each character what ``TOKEN`` takes it for: 0 a blank, 1 part of a word, 2 a word of its own."""
+    out = np.full(sys.maxunicode + 1, 2, np.uint8)
+    for m in re.finditer(r"\w+", np.arange(len(out), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        out[m.start() : m.end()] = 1
+    out[list(map(ord, " \t\n\r\f\v"))] = 0
+    return out
+
+
+def numbered_words(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """What ``TOKEN`` finds in the texts, one after the other, as places in a list of bytes whose first is the end sign's; that list, which may hold blanks too; the number of words of each text."""
+    whole = "".join(texts)
+    data = whole.encode()
+    kind = kinds()[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    cuts = np.ones(len(kind) + 1, bool)
+    cuts[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cuts[begins] = True
+    at = np.flatnonzero(cuts)
+    byte_cuts = np.ones(len(data) + 1, bool)
+    byte_cuts[:-1] = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    byte_cuts[byte_cuts] = cuts
+    offsets = np.flatnonzero(byte_cuts)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    _, ends, held = pieces.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(pieces.dictionary) + 1].tolist() if len(pieces) else [0]
+    held = held.to_pybytes() if held else b""
+    kept = kind[at[:-1]] > 0
+    before = np.concatenate([[0], np.cumsum(kept)])[np.searchsorted(at, begins)]
+    return pieces.indices.to_numpy()[kept] + 1, [b"", *(held[a:b] for a, b in zip(ends, ends[1:]))], np.diff(before)
 
 
 class Block:
@@ -61,18 +88,16 @@ class Block:
     """
 
     def __init__(self, texts: list[str]):
-        numbers = _Numbers({"": 0})  # the end sign
-        found = [np.fromiter(map(numbers.__getitem__, TOKEN.findall(t)), np.int32) for t in texts]
-        raw = [w.encode() for w in numbers]
+        index, raw, lens = numbered_words(texts)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
         sizes = np.fromiter(map(len, raw), np.int32, len(raw))
-        self.lens = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        self.lens = lens + 1
         ends = np.cumsum(self.lens) - 1
         self.starts = ends + 1 - self.lens
         flat = np.zeros(int(self.lens.sum()), np.int32)
         inner = np.ones(len(flat), bool)
         inner[ends] = False
-        flat[inner] = np.concatenate([*found, np.zeros(0, np.int32)])
+        flat[inner] = index
         word, self.size = hashes[flat], sizes[flat]
         word[ends] = END
         before = np.concatenate([[BEGIN], word[:-1]]).astype(np.uint64)
@@ -120,11 +145,49 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return read.mapInArrow(cut, f"block bigint, ids array<{kind}>, blob binary, n_bytes array<bigint>")
 
 
-def listed(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of ``bits`` bits of all sequences of a block, the empty one first, their counts, and each place's three numbers in this list."""
-    codes, inverse, n = np.unique(block.grams.ravel() >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(block.grams.shape).astype(np.int32)
-    return np.concatenate([[np.uint64(0)], codes]), np.concatenate([[int(block.lens.sum())], n]), inverse + np.int32(1)
+def ordered(x: np.ndarray, bits: int) -> np.ndarray:
+    """Places of numbers of ``bits`` bits by value, equal ones by place. The upper bits are sorted with the place below them, far faster than places by value; what differs below is put right."""
+    k = len(x).bit_length()
+    key = x << np.uint64(64 - bits)
+    key >>= np.uint64(k)
+    key <<= np.uint64(k)
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << k) - 1)).view(np.int64)
+    if bits > 64 - k:
+        key >>= np.uint64(k)
+        same, got = key[1:] == key[:-1], x[order]
+        other = same & (got[1:] != got[:-1])
+        if other.any():
+            run = np.cumsum(np.concatenate([[False], ~same]), dtype=np.int32)
+            mixed = np.zeros(len(x), bool)
+            mixed[run[1:][other]] = True
+            at = np.flatnonzero(mixed[run])
+            order[at] = order[at][np.lexsort((order[at], got[at]))]
+    return order
+
+
+def listed(block: Block, bits: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of ``bits`` bits of all sequences of a block, the empty one first, their counts, and each place's three numbers in this list; with own how often each of these occurs in its own document, else zeros. The block's grams are used up."""
+    shape, x, block.grams = block.grams.shape, block.grams.ravel(), None
+    x >>= np.uint64(64 - bits)
+    order = ordered(x, bits)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    first = np.flatnonzero(new)
+    codes, n = np.concatenate([[np.uint64(0)], x[first]]), np.concatenate([[int(block.lens.sum())], np.diff(first, append=len(x))])
+    del x, first
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32)
+    if not own:
+        return codes, n, inverse.reshape(shape), np.zeros((ORDER, 1), np.int32)
+    docs = np.arange(len(block.lens), dtype=np.int32)
+    owner = np.concatenate([np.repeat(docs + k * len(docs), block.lens) for k in range(ORDER)])[order]  # of equal hashes a document's are neighbours
+    new[1:] |= owner[1:] != owner[:-1]
+    times = np.diff(np.flatnonzero(new), append=len(order)).astype(np.int32)
+    there = np.empty(len(order), np.int32)
+    there[order] = np.repeat(times, times)
+    return codes, n, inverse.reshape(shape), there.reshape(shape)
 
 
 def bucket_of(codes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -277,31 +340,18 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, mu: float = 4.0,
                 if not answers:
                     raise ValueError("docs changed between two readings: write it to a table first")
                 block = Block(decoded(blob))
-                codes, n, inverse = listed(block, bits)
-                block.grams = None
+                codes, n, inverse, own = listed(block, bits, leave_out)
                 total = n * leave_out
                 bucket = bucket_of(codes, bits, buckets)
                 begin = {int(bucket[a]): a for a, _ in spans(bucket)}
                 for x in answers:
                     total[begin[x["bucket"]] + np.cumsum(unsqueeze(x["at"]).astype(np.int64))] = unsqueeze(x["total"])
-                counts = [total[at] - (own_counts(block, at, n) if leave_out else 0) for at in inverse]
+                counts = [total[at] - o for at, o in zip(inverse, own)]
                 signs = total[0] - block.lens * leave_out
-                del codes, n, inverse, total, bucket, begin
+                del codes, n, inverse, own, total, bucket, begin
                 logs = Automaton(block, counts, n_docs - leave_out, signs, mu).score()
                 size = np.array(n_bytes)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(size, pa.int64()), pa.array(logs), pa.array(-logs / math.log(2) / (size + 1))], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, log_prob double, bits_per_byte double")
-
-
-def own_counts(block: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How often each place's sequence occurs in its own document. at: its number in the block, n: how often each occurs there."""
-    own = np.ones(len(at), np.int64)
-    twice = np.flatnonzero(n[at] > 1)
-    owner = np.repeat(np.arange(len(block.lens), dtype=np.int64), block.lens)[twice]
-    key = owner << 32 | at[twice]
-    order = np.argsort(key)
-    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
-    own[twice[order]] = np.repeat(np.diff(first, append=len(key)), np.diff(first, append=len(key)))
-    return own

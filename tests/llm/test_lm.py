@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from resonara.llm import lm
-from resonara.llm.lm import TOKEN, lm_score, squeeze, unsqueeze
+from resonara.llm.lm import TOKEN, Block, listed, lm_score, numbered_words, ordered, squeeze, unsqueeze
 
 MU = 4.0
 
@@ -87,3 +87,38 @@ def test_copies_and_single_rows(spark):
 def test_squeezed_numbers_come_back():
     for x in ([], [0], [1, 2**64 - 1, 7], list(range(1000))):
         assert unsqueeze(squeeze(np.array(x, np.uint64))).tolist() == x
+
+
+def test_order_by_upper_bits_and_place():
+    rng = np.random.default_rng(4)
+    for bits in (8, 40, 54, 64):
+        for n in (1, 2, 3, 1000, 5000):
+            x = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) >> np.uint64(64 - bits)
+            some = rng.integers(0, n, n // 2)
+            x[: n // 2] = x[some] ^ rng.integers(0, 3, n // 2, np.uint64)  # alike above, other below, and equal
+            assert ordered(x, bits).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_counts_of_a_block_against_counting():
+    texts = [t or "" for t in sample()]
+    for bits in (6, 45, 64):  # at 6 sequences of all lengths share hashes
+        block = Block(texts)
+        grams = block.grams >> np.uint64(64 - bits)
+        codes, n, inverse, own = listed(block, bits, True)
+        doc = np.repeat(np.arange(len(texts)), block.lens)
+        assert (codes[inverse] == grams).all() and codes[0] == 0 and n[0] == grams.shape[1]
+        assert dict(zip(codes[1:].tolist(), n[1:].tolist())) == Counter(grams.ravel().tolist())
+        for row, got in zip(grams.tolist(), own.tolist()):
+            there = Counter(zip(doc.tolist(), row))
+            assert got == [there[key] for key in zip(doc.tolist(), row)]
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(8)
+    odd = "a_9é日ß\u0301²Ⅷ𝟘😀!-.  \t\n\r\f\v\xa0\u2028\x00\x1c"
+    texts = ["", *("".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(400)), "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000, 7)])), "", "ab", "cd", ""]
+    for some in (texts, [""], ["", ""], [" "], texts[:40]):
+        index, raw, lens = numbered_words(some)
+        want = [TOKEN.findall(t) for t in some]
+        assert lens.tolist() == list(map(len, want)) and raw[0] == b"" and len(set(raw)) == len(raw)
+        assert [raw[i].decode() for i in index] == [w for ws in want for w in ws]
