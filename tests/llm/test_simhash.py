@@ -123,3 +123,14 @@ def test_no_table_of_near_groups_passes_through_the_driver(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_keys_of_a_small_table_are_not_broadcast(spark):
+    sigs = Shelf(spark, "t").put(spark.createDataFrame([(1, 2), (1, 3), (5, -9)], "s0 long, s1 long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        pairs = near_pairs(sigs)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert [(r.a1, r.b1, r.distance) for r in pairs.collect()] == [(2, 3, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
