@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spectral import cells, stft
 
+#: Rows of a block of one side's list, about, and how many of the other side's rows are multiplied with a block at a time.
+BLOCK, STRIP = 512, 128
+#: Rows of a batch that goes back to Spark, at least, but for the last.
+BATCH = 50_000
+
 
 def bands(spark: SparkSession, bins: int, n_fft: int, rate: float, n: int = 24, low: float = 40.0) -> DataFrame:
     """(b, band): the log-spaced band of each bin from ``low`` to half the rate."""
@@ -43,16 +51,137 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(den > 1e-12, dot(a, b) / den).otherwise(0.0)
 
 
+class Vectors:
+    """Arrays of any lengths with or without nulls, for ``cosines``: (place, array) filled up with zeros."""
+
+    def __init__(self, x: np.ndarray, lens: np.ndarray, void: np.ndarray | None):
+        self.x, self.lens, self.void = x, lens, void
+
+    @staticmethod
+    def of(column: pa.ChunkedArray) -> Vectors:
+        v = column.combine_chunks()
+        v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+        flat, ends = v.flatten(), np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        lens = np.diff(ends, prepend=0)
+        most = int(lens.max(initial=0))
+        null, values = flat.is_null().to_numpy(zero_copy_only=False), flat.to_numpy(zero_copy_only=False)
+        if (lens == most).all():
+            x, void = values.reshape(-1, most).T.copy(), null.reshape(-1, most).T.copy()
+        else:
+            x, void = np.zeros((most, len(lens))), np.ones((most, len(lens)), bool)
+            row = np.repeat(np.arange(len(lens)), lens)
+            place = np.arange(len(flat)) - np.repeat(ends - lens, lens)
+            x[place, row], void[place, row] = values, null
+        x[void] = 0.0
+        return Vectors(x, lens, void if void.any() else None)
+
+    def __len__(self) -> int:
+        return len(self.lens)
+
+    def __getitem__(self, rows) -> Vectors:
+        return Vectors(self.x[:, rows], self.lens[rows], None if self.void is None else self.void[:, rows])
+
+    def norms(self) -> np.ndarray:
+        """(length, array): the norm of the first ``length`` values."""
+        return np.sqrt(np.concatenate([np.zeros((1, len(self))), np.cumsum(self.x * self.x, axis=0)]))
+
+
+def cosines(a: Vectors, b: Vectors) -> np.ndarray:
+    """``cosine`` of all of a with all of b, bit for bit: sums run from the first value to the last."""
+    dot, part = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    with np.errstate(all="ignore"):
+        for k in range(min(len(a.x), len(b.x))):
+            np.multiply(a.x[k][:, None], b.x[k], out=part)
+            if a.void is not None:
+                part[a.void[k]] = 0.0
+            if b.void is not None:
+                part[:, b.void[k]] = 0.0
+            dot += part
+        na, nb = a.norms(), b.norms()
+        if len({*a.lens, *b.lens}) == 1:
+            np.multiply(na[-1][:, None], nb[-1], out=part)
+        else:
+            n = np.minimum.outer(a.lens, b.lens)
+            np.multiply(na[n, np.arange(len(a))[:, None]], nb[n, np.arange(len(b))], out=part)
+        none = part <= 1e-12
+        dot /= part
+    dot[none] = 0.0
+    return dot
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A table for each group of rows, of which the first has ``n`` = 1."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        firsts = np.flatnonzero(batch.column("n").to_numpy(zero_copy_only=False) == 1)
+        edges = np.unique(np.concatenate([[0], firsts, [batch.num_rows]])).tolist()
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if held and batch.column("n")[lo].as_py() == 1:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, small batches put together."""
+    held, rows = [], 0
+    for batch in batches:
+        held, rows = [*held, batch], rows + batch.num_rows
+        if rows >= BATCH:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _listed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, tonal, right, idx, v) of both sides' parts that can have a pair."""
+    tonal = (F.col("kind") != "percussive").alias("tonal")
+    side = lambda s, right: s.select("pair", tonal, F.lit(right).alias("right"), "idx", F.col("v").cast("array<double>").alias("v"))
+    return side(a, False).unionByName(side(b, True)).where("pair is not null and tonal is not null and v is not null")
+
+
+def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    right = rows["right"].to_numpy()
+    return rows.filter(pa.array(~right)), rows.filter(pa.array(right))
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
+        for rows in grouped(batches):
+            a, b = _sides(rows)
+            va, vb, nb = Vectors.of(a["v"]), Vectors.of(b["v"]), len(b)
+            pair, tonal, ia, ib = (t[c].combine_chunks() for t, c in ((a, "pair"), (a, "tonal"), (a, "idx"), (b, "idx")))
+            for lo in range(0, len(a) if nb else 0, STRIP):
+                hi = min(len(a), lo + STRIP)
+                at, to = np.repeat(np.arange(lo, hi), nb), np.tile(np.arange(nb), hi - lo)
+                yield pa.RecordBatch.from_arrays([pair.take(at), tonal.take(at), ia.take(at), ib.take(to), pa.array(cosines(va[lo:hi], vb).ravel())], ["pair", "tonal", "a", "b", "similarity"])
+
+    return gathered(made())
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pair, a, b, similarity, basis): every pair of components of one side's and the other's list that are both tonal or both not.
 
     Sides: (pair, idx, kind, v array); v is the chroma of a tonal part, the band descriptor of a percussive one; a part without v
-    has no pairs. An equality join on (pair, tonal).
+    has no pairs. Both lists of a (pair, tonal) are cut into blocks by a hash; each row goes to all blocks of the other side in one exchange,
+    and a kernel multiplies block by block.
     """
-    tonal = (F.col("kind") != "percussive").alias("tonal")
-    left = a.where("v is not null").select("pair", tonal, F.col("idx").alias("a"), F.col("v").alias("va"))
-    right = b.where("v is not null").select("pair", tonal, F.col("idx").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, ["pair", "tonal"]).select("pair", "a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"), F.when(F.col("tonal"), "tonal").otherwise("percussive").alias("basis"))
+    spark = a.sparkSession
+    rows, key = _listed(a, b), ["pair", "tonal"]
+    blocks = lambda right: F.ceil(F.sum((F.col("right") == right).cast("int")) / BLOCK).cast("int")
+    sizes = rows.groupBy(*key).agg(blocks(False).alias("na"), blocks(True).alias("nb")).where("na > 0 and nb > 0")
+    own = F.pmod(F.xxhash64("idx", "v"), F.when(F.col("right"), F.col("nb")).otherwise(F.col("na"))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("na")).otherwise(F.col("nb")) - 1))
+    dealt = rows.join(sizes, key).select(*key, "right", "idx", "v", own.alias("own"), every.alias("other"))
+    group = [*key, "i", "j"]
+    met = dealt.select(*key, "right", "idx", "v", F.when(F.col("right"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("right"), F.col("own")).otherwise(F.col("other")).alias("j"))
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("right")))
+    kinds = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in rows.schema)}
+    made = met.select("n", *key, "right", "idx", "v").mapInArrow(_products, f"pair {kinds['pair']}, tonal boolean, a {kinds['idx']}, b {kinds['idx']}, similarity double")
+    return made.select("pair", F.col("a").cast(a.schema["idx"].dataType), F.col("b").cast(b.schema["idx"].dataType), "similarity", F.when(F.col("tonal"), "tonal").otherwise("percussive").alias("basis"))
 
 
 def greedy_match(cands: DataFrame, min_similarity: float | None = None) -> DataFrame:
