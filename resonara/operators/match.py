@@ -16,6 +16,10 @@ from .spectral import cells, stft
 BLOCK, STRIP = 512, 128
 #: Rows of a batch that goes back to Spark, at least, but for the last.
 BATCH = 50_000
+#: Best partners that a part lists at first in ``best_pairs``; lists grow up to this many edges in all.
+LISTED, EDGES = 64, 4_000_000
+#: Place in a list below, the rounded and negated similarity above.
+PLACE, NEVER = 22, 1 << 40
 
 
 def bands(spark: SparkSession, bins: int, n_fft: int, rate: float, n: int = 24, low: float = 40.0) -> DataFrame:
@@ -184,10 +188,95 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return made.select("pair", F.col("a").cast(a.schema["idx"].dataType), F.col("b").cast(b.schema["idx"].dataType), "similarity", F.when(F.col("tonal"), "tonal").otherwise("percussive").alias("basis"))
 
 
+def _best(a: Vectors, b: Vectors, k: int) -> np.ndarray:
+    """(row of a, k): the best k of b for each of a in order, as numbers of similarity and place that sort in order of choice."""
+    found = np.empty((len(a), min(k, len(b))), np.int64)
+    for lo in range(0, len(a), STRIP):
+        best = np.empty((min(STRIP, len(a) - lo), 0), np.int64)
+        for at in range(0, len(b), 2 * BLOCK):
+            s = cosines(a[lo : lo + STRIP], b[at : at + 2 * BLOCK])
+            rounded = np.copysign(np.floor(np.abs(s) * 1e12 + 0.5), -s)
+            rounded[np.isnan(s)] = NEVER
+            best = np.concatenate([best, (rounded.astype(np.int64) << PLACE) + np.arange(at, at + s.shape[1])], axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, k - 1, axis=1)[:, :k]
+        found[lo : lo + STRIP] = np.sort(best, axis=1)
+    return found
+
+
+def best_pairs(ia: np.ndarray, ta: np.ndarray, va: Vectors, ib: np.ndarray, tb: np.ndarray, vb: Vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b that ``greedy_match`` pairs, in its order, without all candidates at once.
+
+    Each free row of a lists its best free partners. The edges of all lists are taken in order, until a row that is still free has come to the end
+    of its list while there may be more: what is left lists anew, twice as many. Until then no list lacks an edge that would be due.
+    """
+    if len(ib) >> PLACE:
+        raise ValueError(f"a list of more than {1 << PLACE} components")
+    (_, ca), (_, cb) = np.unique(ia, return_inverse=True), np.unique(ib, return_inverse=True)
+    used_a, used_b = bytearray(len(ca)), bytearray(len(cb))
+    order, made_a, made_b, k = np.argsort(ib, kind="stable"), [], [], LISTED
+    while True:
+        left_a = ~np.frombuffer(used_a, bool)[ca]
+        left_b = ~np.frombuffer(used_b, bool)[cb]
+        edges = []
+        for kind in (False, True):
+            a, b = np.flatnonzero(left_a & (ta == kind)), order[left_b[order] & (tb[order] == kind)]
+            if len(a) and len(b):
+                found = _best(va[a], vb[b], k)
+                last = np.zeros(found.shape, bool)
+                last[:, -1] = found.shape[1] < len(b)
+                edges.append((found.ravel() >> PLACE, np.repeat(a, found.shape[1]), b[found.ravel() & ((1 << PLACE) - 1)], last.ravel()))
+        if not edges:
+            break
+        key, a, b, last = (np.concatenate(x) for x in zip(*edges, strict=True))
+        due = np.lexsort((b, ta[a], ib[b], ia[a], key))
+        a, b, last, ended = a[due], b[due], last[due], True
+        for x, y, cx, cy, end in zip(a.tolist(), b.tolist(), ca[a].tolist(), cb[b].tolist(), last.tolist(), strict=True):
+            if used_a[cx]:
+                continue
+            if not used_b[cy]:
+                used_a[cx] = used_b[cy] = 1
+                made_a.append(x)
+                made_b.append(y)
+            elif end:
+                ended = False
+                break
+        if ended:
+            break
+        k = max(LISTED, min(2 * k, EDGES // max(1, int(left_a.sum()))))
+    return np.array(made_a, np.int64), np.array(made_b, np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
+        for rows in grouped(batches):
+            a, b = _sides(rows)
+            if not len(a) or not len(b):
+                continue
+            (ia, ta), (ib, tb) = ((t["idx"].to_numpy(), t["tonal"].to_numpy()) for t in (a, b))
+            va, vb = Vectors.of(a["v"]), Vectors.of(b["v"])
+            at, to = best_pairs(ia, ta, va, ib, tb, vb)
+            alike = [cosines(va[at[k : k + 16]], vb[to[k : k + 16]]).diagonal() for k in range(0, len(at), 16)]
+            columns = [a["pair"].combine_chunks().take(pa.array(at)), pa.array(ia[at]), pa.array(ib[to]), pa.array(np.concatenate([*alike, np.empty(0)])), pa.array(ta[at]), pa.array(np.arange(len(at), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["pair", "a", "b", "similarity", "tonal", "rank"])
+
+    return gathered(made())
+
+
+def matched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``greedy_match(candidates(a, b))`` for lists of any length: a task holds the vectors of a pair of tracks, and of the candidates only the best."""
+    spark = a.sparkSession
+    rows = _listed(a, b).withColumn("idx", F.col("idx").cast("bigint")).where("idx is not null")
+    kind = dict(rows.dtypes)["pair"]
+    whole = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair").withColumn("n", F.row_number().over(Window.partitionBy("pair").orderBy("right", "idx")))
+    made = whole.mapInArrow(_pairs, f"pair {kind}, a bigint, b bigint, similarity double, tonal boolean, rank int")
+    return made.select("pair", "a", "b", "similarity", F.when(F.col("tonal"), "tonal").otherwise("percussive").alias("basis"), "rank")
+
+
 def greedy_match(cands: DataFrame, min_similarity: float | None = None) -> DataFrame:
     """(pair, a, b, similarity, basis, rank): the best candidate again and again, each index used once; ties by a, then b.
 
-    One fold over each pair of tracks' sorted candidates, inside Catalyst. No floor unless one is given.
+    One fold over each pair of tracks' sorted candidates, inside Catalyst: for lists of candidates that a row can hold. No floor unless one is given.
     """
     rows = cands if min_similarity is None else cands.where(F.col("similarity") >= min_similarity)
     item = F.struct((-F.round("similarity", 12)).alias("s"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "similarity", "basis")
@@ -209,5 +298,5 @@ def unpaired(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
 
 def match_components(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, unpaired of a, unpaired of b) for sides (pair, idx, kind, v)."""
-    pairs = greedy_match(candidates(a, b))
+    pairs = matched(a, b)
     return pairs, unpaired(a, pairs, "a"), unpaired(b, pairs, "b")

@@ -44,3 +44,29 @@ def test_candidates_of_odd_vectors(spark):
     rows = [("p", i, kind, v) for i, v in enumerate(odd) for kind in ("harmonic", "percussive", None)] + [(None, 1, "harmonic", [1.0])]
     a = spark.createDataFrame(rows, SIDE)
     assert same(match.candidates(a, a), by_rows(a, a))
+
+
+def test_matching_of_long_lists_equals_the_fold(spark):
+    for values in (None, 2):  # of two values, most similarities are ties
+        a, b = lists(spark, {"p": (150, 170), "q": (60, 1), "r": (5, 0)}, seed=3, values=values)
+        got = match.match_components(a, b)[0]
+        assert "collect_list" not in plan(got)  # no row holds all candidates of a pair
+        assert same(got, match.greedy_match(match.candidates(a, b)))
+
+
+def test_best_pairs_list_again_what_is_left(monkeypatch):
+    monkeypatch.setattr(match, "LISTED", 3)
+    draw = np.random.default_rng(5)
+    for n, m, distinct in ((40, 60, 100), (60, 40, 6), (50, 50, 1)):
+        ia, ib = draw.permutation(n) % (n - 2), draw.permutation(m) % (m - 2)  # some numbers twice
+        ta, tb = ia % 3 > 0, ib % 3 > 0
+        vectors = draw.normal(size=(distinct, 4))
+        va, vb = (match.Vectors(vectors[draw.integers(0, distinct, k)].T.copy(), np.full(k, 4), None) for k in (n, m))
+        s = match.cosines(va, vb)
+        due = sorted((-round(s[x, y], 12), ia[x], ib[y], bool(ta[x]), y) for x in range(n) for y in range(m) if ta[x] == tb[y])
+        want = []
+        for _, i, j, _, _ in due:
+            if all(i != x and j != y for x, y in want):
+                want.append((i, j))
+        at, to = match.best_pairs(ia, ta, va, ib, tb, vb)
+        assert list(zip(ia[at], ib[to], strict=True)) == want
