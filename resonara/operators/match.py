@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -296,7 +296,7 @@ def unpaired(side: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     return side.select("pair", F.col("idx").cast("bigint").alias("idx")).join(pairs.select("pair", F.col(column).alias("idx")), ["pair", "idx"], "left_anti")
 
 
-def match_components(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, unpaired of a, unpaired of b) for sides (pair, idx, kind, v)."""
-    pairs = matched(a, b)
+def match_components(a: DataFrame, b: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, unpaired of a, unpaired of b) for sides (pair, idx, kind, v). keep: writes the pairs, so that several results of them match once."""
+    pairs = keep(matched(a, b))
     return pairs, unpaired(a, pairs, "a"), unpaired(b, pairs, "b")

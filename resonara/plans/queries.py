@@ -261,7 +261,7 @@ def greedy_match(spark, d):
 
 def unpaired(spark, d):
     a, b = sides(spark, d)
-    _, ua, ub = match.match_components(a.where("idx % 5 <> 0"), b)
+    _, ua, ub = match.match_components(a.where("idx % 5 <> 0"), b, keep=Shelf(spark, "match").put)
     return ua.withColumn("side", F.lit("a")).unionByName(ub.withColumn("side", F.lit("b")))
 
 

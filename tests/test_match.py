@@ -4,6 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from resonara.operators import match
+from resonara.plans import queries
+
+from .conftest import SF
 
 SIDE = "pair string, idx int, kind string, v array<double>"
 
@@ -70,3 +73,24 @@ def test_best_pairs_list_again_what_is_left(monkeypatch):
                 want.append((i, j))
         at, to = match.best_pairs(ia, ta, va, ib, tb, vb)
         assert list(zip(ia[at], ib[to], strict=True)) == want
+
+
+def test_unpaired_of_both_sides_match_once(spark, tmp_path):
+    kept = []
+
+    def keep(df):
+        df.write.parquet(f"{tmp_path}/pairs")
+        kept.append(df)
+        return spark.read.parquet(f"{tmp_path}/pairs")
+
+    a, b = lists(spark, {"p": (40, 50), "q": (3, 0)}, seed=7)
+    _, ua, ub = match.match_components(a, b, keep=keep)
+    both = ua.unionByName(ub)
+    assert len(kept) == 1 and "MapInArrow" not in plan(both)
+    pairs = match.greedy_match(match.candidates(a, b))
+    assert same(ua, match.unpaired(a, pairs, "a")) and same(ub, match.unpaired(b, pairs, "b")) and ua.where("pair = 'q'").count() == 3
+
+
+def test_query_unpaired_matches_once(spark):
+    found = queries.unpaired(spark, SF)
+    assert "MapInArrow" not in plan(found) and "collect_list" not in plan(found)
