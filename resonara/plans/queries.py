@@ -410,7 +410,12 @@ def format_time(spark, d):
 
 
 def similarity_percent(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(S.percent(F.avg(F.col("l_discount"))).alias("shown"))
+    """Shares are summed in the order of the file, as SQL does in one thread: half percents then don't hang on how the table is cut."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_discount", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    order = Window.partitionBy("l_orderkey").orderBy("file", "at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select("l_orderkey", F.sum("l_discount").over(so_far).alias("sum"), F.count("l_discount").over(so_far).alias("n"), F.lead(F.lit(True)).over(order).alias("more"))
+    return sums.where("more is null").select("l_orderkey", S.percent(F.when(F.col("n") > 0, F.col("sum") / F.col("n"))).alias("shown"))
 
 
 def clamp_settings(spark, d):

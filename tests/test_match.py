@@ -1,10 +1,14 @@
-"""Matching in blocks, against the same by rows."""
+"""Matching in blocks, against the same by rows; results that must not hang on how a table is cut."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from resonara.operators import match
 from resonara.plans import queries
+from resonara.plans.registry import ORACLE_SQL
 
 from .conftest import SF
 
@@ -94,3 +98,20 @@ def test_unpaired_of_both_sides_match_once(spark, tmp_path):
 def test_query_unpaired_matches_once(spark):
     found = queries.unpaired(spark, SF)
     assert "MapInArrow" not in plan(found) and "collect_list" not in plan(found)
+
+
+def test_similarity_percent_in_the_order_of_the_file(spark, tmp_path):
+    """Of shares that come to half percents, in a file that several tasks read: as SQL sums them in one thread."""
+    draw, n = np.random.default_rng(11), 60_000
+    keys, shares = pa.array(draw.integers(0, n // 6, n)), pa.array(draw.integers(0, 11, n) / 100)
+    pq.write_table(pa.table({"l_orderkey": keys, "l_discount": shares}), f"{tmp_path}/lineitem.parquet", row_group_size=5_000)
+    duck = duckdb.connect()
+    duck.sql("set threads = 1")
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    cut, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(cut, "32k")
+    try:
+        found = queries.similarity_percent(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(cut, usual)
+    assert sorted(map(tuple, found)) == sorted(duck.sql(ORACLE_SQL["similarity_percent"]).fetchall())
